@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, url_filters, vector_search
+from . import language_model, mixing, quality_rules, sharding, url_filters, vector_search
 from .oracles import ORACLES
 
 URL_RULES = [
@@ -27,6 +27,15 @@ def op1_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def held_out_row(modulus: int):
+    """Rows whose crc32(doc_id as text) leaves 2."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), held_out_row(7))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -48,7 +57,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleave, op3_url_filter, op5_topk, op7_mix, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_interleave, op2_ppm, op3_url_filter, op5_topk, op7_mix, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
