@@ -161,7 +161,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int =
                 words.update(t.split())
         for t, out in zip(texts, rows.held_out):
             if out:
-                words.update(dict.fromkeys(set(t.split()) - words.keys(), 0))
+                words.update(dict.fromkeys((w for w in set(t.split()) if w not in words), 0))
         grams = np.unique(np.concatenate([np.unique(strings(run, order)) for run in pieces(texts)]))
         keys = needed(grams, order)
         key = np.concatenate([np.zeros(len(words), dtype=np.int64), keys])

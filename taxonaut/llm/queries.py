@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, mixing, quality_rules, sharding, url_filters, vector_search
+from . import jaccard_join, language_model, mixing, quality_rules, sharding, url_filters, vector_search
 from .oracles import ORACLES
 
 URL_RULES = [
@@ -46,6 +46,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleave, op2_ppm, op3_url_filter, op5_topk, op7_mix, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_interleave, op2_ppm, op3_url_filter, op5_topk, op6_jaccard, op7_mix, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
