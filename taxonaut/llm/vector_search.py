@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from .common import buckets_for
 
 
+#: Rows whose scores are accumulated together, so that they stay in a core's cache.
+TILE = 256
+
+
 def quantised(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component, x as double; null if any is null or not finite."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -39,16 +43,18 @@ def scores(queries: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
     bound = top(queries) * top(rows) * max((len(v) for v in rows), default=0)
     kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
     acc = np.zeros((len(rows), len(queries)), dtype=kind)
-    index = postings(rows)
-    for term, (q, wq) in postings(queries).items():
-        if term in index:
-            r, wr = index[term]
-            wq, wr = wq.astype(kind), wr.astype(kind)
-            if len(q) == len(queries):
-                acc[r] += wr[:, None] * wq[None, :]
-            else:
-                for one, w in zip(q, wq):
-                    acc[r, one] += wr * w
+    asked = postings(queries)
+    for start in range(0, len(rows), TILE):
+        tile = acc[start : start + TILE]
+        for term, (r, wr) in postings(rows[start : start + TILE]).items():
+            if term in asked:
+                q, wq = asked[term]
+                if 2 * len(q) > len(queries):
+                    dense = np.zeros(len(queries), dtype=kind)
+                    dense[q] = wq.astype(kind)
+                    tile[r] += wr.astype(kind)[:, None] * dense[None, :]
+                else:
+                    tile[np.ix_(r, q)] += wr.astype(kind)[:, None] * wq.astype(kind)[None, :]
     if kind is object:
         acc = np.clip(acc, -(2**63), 2**63 - 1).astype(np.int64)
     return acc.T
