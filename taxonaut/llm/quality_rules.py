@@ -45,14 +45,18 @@ def grams(words: Column, buckets: int) -> Column:
     return F.concat(one, F.array_compact(two))
 
 
-def likelihood_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, smoothing: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> list[float]:
+def likelihood_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, smoothing: float = 1.0, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> list[float]:
     """log(target / raw) of each hash bucket, from two smoothed multinomials.
 
     ``trusted`` holds the ids of the target documents (repeated and null ids
     do no harm); raw is all documents. Counts cover every word of every
     document and are summed map-side, so ``buckets`` rows reach the driver.
+    Up to ``broadcast_rows`` trusted ids are broadcast (some 32 MB); more are
+    joined by a shuffle of the texts, with the same counts.
     """
     marks = trusted.select(F.col(trusted.columns[0]).alias("_id")).dropna().distinct().withColumn("_in", F.lit(1))
+    if marks.count() <= broadcast_rows:  # else both sides are shuffled by id
+        marks = F.broadcast(marks)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_x")).join(marks, "_id", "left")
     rows = rows.select(F.coalesce("_in", F.lit(0)).alias("_in"), words_of(F.col("_x")).alias("_w"))
     rows = rows.select("_in", F.explode(grams(F.col("_w"), buckets)).alias("bucket"))
