@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_model, mixing, quality_rules, sharding, url_filters, vector_search
+from . import jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, url_filters, vector_search
 from .oracles import ORACLES
 
 URL_RULES = [
@@ -41,6 +41,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", vector_search.quantised(F.col("embedding")).alias("embedding"))
     return vector_search.top_k(vectors, F.col("vec_id") % 20 == 0)
@@ -60,8 +64,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.likelihood_ratios(docs, trusted))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.learn(secret_scan.labelled(docs)))
+
+
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels, ~held_out_row(4))
+    out = quality_classifier.classify(docs, model)
+    return out.select("doc_id", held_out_row(4).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleave, op2_ppm, op3_url_filter, op5_topk, op6_jaccard, op7_mix, op8_quality_rules)}
+    every = (
+        op1_interleave, op2_ppm, op3_url_filter, op4_pack, op5_topk,
+        op6_jaccard, op7_mix, op8_quality_rules, op9_secrets, op10_classifier,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
