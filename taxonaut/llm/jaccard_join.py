@@ -17,40 +17,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, written
 from .components import components
 
-KEPT_WORDS = 500_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that are hashed together; a longer text goes alone.
+PIECE = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+MIX = np.uint64(0xD6E8FEB86659FD93)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingle hashes."""
+    """Texts to sorted arrays of distinct 64-bit shingle hashes.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over
+    all bytes of a piece, so no Python code runs for a single word.
+    """
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.array([known[w] for w in words], dtype=np.uint64)
-        n = min(self.size, len(ids))
-        out = np.full(len(ids) - n + 1, n, dtype=np.uint64)
-        for i in range(n):
-            out = (out ^ ids[i : len(ids) - n + 1 + i]) * MIX
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
+        self.size, self.power, self.inverse = size, np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each word."""
+        if len(data) > len(self.power):
+            n = max(PIECE + 4096, len(data))
+            self.power = np.cumprod(np.full(n, BASE, dtype=np.uint64))
+            self.inverse = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64))
+        blank = BLANK[data]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[data] + np.uint64(1)) * self.power[: len(data)])])
+        return start, mixed((sums[end] - sums[start]) * self.inverse[start])
+
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        run: list[bytes] = []
+        total = 0
+        for text in texts:
+            run.append((text or "").encode("utf-8", "surrogatepass"))
+            total += len(run[-1]) + 1
+            if total >= PIECE:
+                yield from self.piece(run)
+                run, total = [], 0
+        yield from self.piece(run)
+
+    def piece(self, run: list[bytes]) -> Iterator[np.ndarray]:
+        start, word = self.words(np.frombuffer(b"\n".join(run), dtype=np.uint8))
+        first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in run]))
+        for a, b in zip(first, first[1:]):
+            n = min(self.size, b - a)
+            if not n:
+                yield np.empty(0, np.uint64)
+                continue
+            out = np.full(b - a - n + 1, n, dtype=np.uint64)
+            for i in range(n):
+                out = mixed(out * MIX + word[a + i : b - n + 1 + i])
+            yield np.unique(out)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -130,7 +160,7 @@ def profiled(docs: DataFrame, size: int, counters: int) -> DataFrame:
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, table, held = Shingler(size), np.zeros(counters, dtype=np.uint32), []
         for batch in batches:
-            found = [shingler(t) for t in batch.text]
+            found = list(shingler(batch.text))
             yield pd.DataFrame({"doc_id": batch.doc_id, "sig": [digest(s) for s in found], "n": [len(s) for s in found], "part": -1, "counts": None})
             held += found
             if sum(map(len, held)) > 1_000_000:
@@ -160,8 +190,13 @@ def merged_counts(parts: DataFrame, counters: int) -> np.ndarray:
     return out
 
 
+def spare(n: int) -> int:
+    """How many short lists more than one a document of n shingles has: then two must share as many more."""
+    return n // 50
+
+
 def short_lists(docs: DataFrame, size: int, percent: int, counts: np.ndarray, heavy: int, parts: int) -> DataFrame:
-    """The rarest shingles of each document with the first half of its digest, packed by part; long lists as rows.
+    """The rarest shingles of each document with half of its digest and its size, packed by part; long lists as rows.
 
     Shingles are ordered by their count-min count, then hash: any fixed order
     finds every link, this one keeps lists short. Counts are upper bounds, so
@@ -172,57 +207,73 @@ def short_lists(docs: DataFrame, size: int, percent: int, counts: np.ndarray, he
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, held, total = Shingler(size), [], 0
         for batch in batches:
-            for text in batch.text:
-                s = shingler(text)
-                if len(s):
+            for s in shingler(batch.text):
+                n = len(s)
+                if n:
                     c = shared.value[(s & np.uint64(len(shared.value) - 1)).astype(np.int64)]
-                    k = len(s) - least_overlap(len(s), percent) + 1
-                    first = np.lexsort((s, c))[:k]
-                    held.append((s[first], c[first], np.full(k, int.from_bytes(digest(s)[:8], "little"), dtype=np.uint64)))
+                    k = min(n, n - least_overlap(n, percent) + 1 + spare(n))
+                    first = np.argsort(c, kind="stable")[:k]
+                    held.append((s[first], c[first], np.full(k, int.from_bytes(digest(s)[:8], "little"), dtype=np.uint64), np.full(k, n, dtype=np.uint32)))
                     total += k
-            if total > 2_000_000:
-                yield packed(held)
-                held, total = [], 0
+                if total > 2_000_000:
+                    yield packed(held)
+                    held, total = [], 0
         if held:
             yield packed(held)
 
     def packed(held: list) -> pd.DataFrame:
-        s, c, d = (np.concatenate(x) for x in zip(*held))
-        rows = pd.DataFrame({"s": s, "d": d, "hot": c >= heavy}).drop_duplicates()
-        hot = rows[rows.hot]
-        rows = rows[~rows.hot]
+        s, c, d, n = (np.concatenate(x) for x in zip(*held))
+        rows = pd.DataFrame({"s": s, "d": d, "n": n, "hot": c >= heavy}).drop_duplicates()
+        hot, rows = rows[rows.hot], rows[~rows.hot]
         part = (rows.s.to_numpy() >> np.uint64(20)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
-        s, d, part = rows.s.to_numpy()[order], rows.d.to_numpy()[order], part[order]
+        s, d, n, part = rows.s.to_numpy()[order], rows.d.to_numpy()[order], rows.n.to_numpy()[order], part[order]
         edges = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
-        ends = [*edges[1:], len(part)]
-        light = pd.DataFrame({"part": part[edges].astype(np.int64), "shingles": [s[a:b].tobytes() for a, b in zip(edges, ends)], "ids": [d[a:b].tobytes() for a, b in zip(edges, ends)]})
-        light["shingle"], light["id"] = 0, 0
-        hot = pd.DataFrame({"part": -1, "shingles": None, "ids": None, "shingle": hot.s.to_numpy().view(np.int64), "id": hot.d.to_numpy().view(np.int64)})
+        spans = [slice(a, b) for a, b in zip(edges, [*edges[1:], len(part)])]
+        light = pd.DataFrame({"part": part[edges].astype(np.int64), "shingles": [s[x].tobytes() for x in spans], "ids": [d[x].tobytes() for x in spans], "sizes": [n[x].tobytes() for x in spans]})
+        light["shingle"], light["id"], light["n"] = 0, 0, 0
+        hot = pd.DataFrame({"part": -1, "shingles": None, "ids": None, "sizes": None, "shingle": hot.s.to_numpy().view(np.int64), "id": hot.d.to_numpy().view(np.int64), "n": hot.n.to_numpy().astype(np.int64)})
         return pd.concat([light, hot], ignore_index=True)
 
-    return docs.select("text").mapInPandas(route, "part long, shingles binary, ids binary, shingle long, id long")
+    return docs.select("text").mapInPandas(route, "part long, shingles binary, ids binary, sizes binary, shingle long, id long, n long")
+
 
+def hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """(id, hub): a document's digest with the least digest of each of its short lists that holds another document.
 
-def hubs(lists: DataFrame) -> DataFrame:
-    """(id, hub): a document's digest with the least digest of each of its short lists that has another document."""
+    A list holds the documents of two neighbouring size classes: sizes of
+    linked documents differ by less than a class. Documents with too few such
+    lists to share with any one partner are left out.
+    """
+    ratio = np.log(100 / percent)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        s = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.shingles])
-        d = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.ids]).view(np.int64)
-        order = np.lexsort((d, s))
-        s, d = s[order], d[order]
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        s, d, n = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("shingles", np.uint64), ("ids", np.uint64), ("sizes", np.uint32)))
+        d, level = d.view(np.int64), np.floor(np.log(n) / ratio + 1e-9).astype(np.int64)
+        s, d, n, level = np.tile(s, 2), np.tile(d, 2), np.tile(n, 2), np.concatenate([level, level + 1])
+        order = np.lexsort((d, level, s))
+        s, d, n, level = s[order], d[order], n[order], level[order]
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (level[1:] != level[:-1])])
+        starts = np.flatnonzero(new)
         run = np.repeat(np.arange(len(starts)), np.diff([*starts, len(s)]))
-        last = d[np.append(starts[1:], len(s)) - 1]
-        more = d[starts] != last
-        out = pd.DataFrame({"id": d, "hub": d[starts][run]})[more[run]]
-        return out.drop_duplicates()
-
-    light = lists.filter("part >= 0").groupBy("part").applyInPandas(join, "id long, hub long")
-    hot = lists.filter("part < 0").select("shingle", "id").distinct()
-    least = hot.groupBy("shingle").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top")
-    return light.union(hot.join(least, "shingle").select("id", "hub")).distinct()
+        more = (d[starts] != d[np.append(starts[1:], len(s)) - 1])[run]
+        out = pd.DataFrame({"id": d[more], "hub": d[starts][run][more], "n": n[more].astype(np.int64), "s": s[more]})
+        lists = out.drop_duplicates(["id", "s"]).groupby("id").size().rename("lists")
+        out = out[["id", "hub", "n"]].drop_duplicates().join(lists, on="id")
+        return out.assign(lists=out.lists.where(~out.id.duplicated(), 0))  # once a document
+
+    light = lists.filter("part >= 0").groupBy("part").applyInPandas(join, "id long, hub long, n long, lists long")
+    hot = lists.filter("part < 0").select("shingle", "id", "n").distinct()
+    level = F.floor(F.log("n") / float(ratio) + 1e-9)
+    hot = hot.withColumn("level", F.explode(F.array(level, level + 1)))
+    least = hot.groupBy("shingle", "level").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top")
+    hot = hot.join(least, ["shingle", "level"])
+    hot = hot.groupBy("id", "hub", "n").agg(F.count(F.lit(1)).alias("lists"))
+    found = written(light.unionByName(hot), "routes")
+    enough = found.groupBy("id", "n").agg(F.sum("lists").alias("lists"))  # a hot list counts for both its levels: too many at most
+    least_n = F.ceil(F.col("n") * percent / 100)
+    enough = enough.filter(F.col("lists") >= 1 + F.floor(least_n / 50)).select("id").distinct()
+    return found.select("id", "hub").distinct().join(enough, "id", "left_semi")
 
 
 def linked(rows: DataFrame, percent: int, asked: bool, parts: int) -> DataFrame:
@@ -246,7 +297,44 @@ def linked(rows: DataFrame, percent: int, asked: bool, parts: int) -> DataFrame:
     return rows.groupBy("part").applyInPandas(work, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_sets(docs: DataFrame, reps: DataFrame, routes: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """The routes (sig, hub, salt, label, asks), each with the shingles of its document.
+
+    ``reps`` (sig, doc_id) says where a set is found. A document's routes
+    travel to its text, so that sets are made there and shuffled once.
+    """
+    to = routes.groupBy("sig").agg(F.collect_list(F.struct("hub", "salt", "label", "asks")).alias("routes"))
+    to = written(reps.select("sig", "doc_id").join(to, "sig"), "routed")
+    texts = docs.join(F.broadcast(to) if routes.count() <= broadcast_rows else to, "doc_id").select("sig", "routes", "text")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(size)
+        for batch in batches:
+            out, total = [], 0
+            for sig, routes, s in zip(batch.sig, batch.routes, shingler(batch.text)):
+                if digest(s) == sig:  # not another text of the same id
+                    data = s.tobytes()
+                    out += [(r["hub"], r["salt"], sig, data, r["label"], r["asks"]) for r in routes]
+                    total += len(data) * len(routes)
+                if total > 16_000_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, total = [], 0
+            yield pd.DataFrame(out, columns=columns)
+
+    columns = ["hub", "salt", "sig", "shingles", "label", "asks"]
+    return texts.mapInPandas(sets, "hub long, salt long, sig binary, shingles binary, label binary, asks boolean")
+
+
+def half_of(sig: Column) -> Column:
+    """The first 8 bytes of a digest as a little-endian long."""
+    byte = lambda i: F.conv(F.hex(F.substring(sig, i + 1, 1)), 16, 10).cast("long")
+    out = byte(0)
+    for i in range(1, 8):
+        out = out.bitwiseOR(F.shiftleft(byte(i), 8 * i))
+    return out
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 1024, broadcast_rows: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The component of every document under links of Jaccard similarity >= percent / 100.
 
     A document's set: its distinct shingles of ``size`` words (runs of
@@ -259,11 +347,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
 
     Equal sets are one node from the start, so copies never form pairs. A
     group of more than ``block`` documents is cut into blocks that all hold
-    its hub; documents whose block doesn't tie them to the hub's component are
-    then searched for in every block of the group. So each link is found or
-    known to lie inside one component, and no group is held whole.
+    its pivot; documents whose block doesn't tie them to the pivot's component
+    are then searched for in every block of the group. So each link is found or
+    known to lie inside one component, and no group is held whole. Up to
+    ``broadcast_rows`` routes are broadcast to the texts, else both shuffled.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     expected = (total.b or 0) // 6
@@ -273,52 +361,34 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
     heavy = 4 * expected // counters + 1000
     nodes = profile.filter("part < 0").select("doc_id", "sig", "n")
     lists = written(short_lists(docs, size, percent, counts, heavy, buckets_for(expected // 6, 1_000_000)), "short-lists")
-    member = written(hubs(lists), "hubs")
-
-    rep = nodes.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    half = F.expr("0L")
-    for i in range(8):  # the first 8 bytes of the digest, little-endian
-        byte = F.conv(F.hex(F.substring("sig", i + 1, 1)), 16, 10).cast("long")
-        half = half.bitwiseOR(F.shiftleft(byte, 8 * i))
-    rep = rep.withColumn("id", half).join(member.select("id").distinct(), "id", "left_semi")
-    rep = written(rep, "routed")
-    found = rep.count()
-    wanted = rep.select("doc_id", "sig", "id")
-    texts = docs.join(F.broadcast(wanted) if found < 500_000 else wanted, "doc_id")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(size)
-        for batch in batches:
-            out = [shingler(t) for t in batch.text]
-            own = [digest(s) == g for s, g in zip(out, batch.sig)]  # not another text of the same id
-            yield batch[["id", "sig"]].assign(shingles=[s.tobytes() for s in out])[own]
-
-    full = texts.select("id", "sig", "text").mapInPandas(sets, "id long, sig binary, shingles binary")
-    groups = member.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    routed = full.join(member, "id").join(groups, "hub")
-    salt = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    salts = F.when((F.col("id") == F.col("hub")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(salt))
-    routed = routed.select("hub", F.explode(salts).alias("salt"), "sig", "shingles", F.col("sig").alias("label"), F.lit(False).alias("asks"))
+    member = written(hubs(lists, percent), "hubs")
+
+    rep = nodes.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).withColumn("id", half_of(F.col("sig")))
+    rep = written(rep.join(member.select("id").distinct(), "id", "left_semi"), "reps")
+    groups = member.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("long"))
+    inside = rep.join(member, "id").join(groups, "hub").select("sig", "hub", "blocks", (F.col("id") == F.col("pivot")).alias("pivot"))
+    salt = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    salts = F.when(F.col("pivot") & (F.col("blocks") > 1), everywhere).otherwise(F.array(salt))
+    routes = inside.select("sig", "hub", F.explode(salts).alias("salt"), F.col("sig").alias("label"), F.lit(False).alias("asks"))
     parts = buckets_for(member.count(), block)
-    edges = written(linked(routed, percent, False, parts), "links")
+    edges = written(linked(with_sets(docs, rep, routes, size, broadcast_rows), percent, False, parts), "links")
     roots = components(edges)
 
-    large = written(groups.filter("blocks > 1"), "large-groups")
+    large = written(inside.filter("blocks > 1"), "large-groups")
     if large.count():
-        known = roots.select(F.col("node").alias("sig"), "root")
-        inside = member.join(large, "hub").join(rep.select("id", "sig"), "id").join(known, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        main = inside.filter("id = hub").groupBy("hub").agg(F.min("root").alias("main"))
-        inside = written(inside.join(main, "hub").select("hub", "id", "sig", "blocks", "root", (F.col("root") != F.col("main")).alias("asks")), "inside")
-        asking = inside.filter("asks")
-        if asking.count():
-            here = inside.join(asking.select("hub").distinct(), "hub", "left_semi").select("hub", salt.alias("salt"), "sig", "root", F.lit(False).alias("asks"), F.lit(0).alias("run"))
-            runs = asking.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("runs"))
-            here = here.join(runs, "hub").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs")
-            there = asking.join(runs, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "sig", "root", F.lit(True).alias("asks"), F.pmod(F.xxhash64("sig", F.lit(1)), F.col("runs")).cast("int").alias("run"))
-            both = here.unionByName(there).join(full.select("sig", "shingles"), "sig")
-            both = both.select("hub", F.struct("salt", "run").alias("salt"), "sig", "shingles", F.col("root").alias("label"), "asks")
-            both = both.withColumn("salt", F.xxhash64("salt"))
-            roots = components(edges.union(linked(both, percent, True, parts)))
+        known = large.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("label", F.coalesce("root", "sig"))
+        main = known.filter("pivot").groupBy("hub").agg(F.min("label").alias("main"))
+        known = written(known.join(main, "hub").select("hub", "sig", "blocks", "label", (F.col("label") != F.col("main")).alias("asks")), "inside")
+        runs = written(known.filter("asks").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("runs")), "runs")
+        if runs.count():
+            known = known.join(runs, "hub")
+            each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")
+            here = known.select("sig", "hub", salt.alias("block"), "label", F.lit(False).alias("asks"), each)
+            there = known.filter("asks").select("sig", "hub", F.explode(everywhere).alias("block"), "label", "asks", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("runs")).alias("run"))
+            routes = here.unionByName(there).select("sig", "hub", F.xxhash64("block", "run").alias("salt"), "label", "asks")
+            more = written(linked(with_sets(docs, rep, routes, size, broadcast_rows), percent, True, parts), "links")
+            roots = components(edges.union(more))
 
     named = nodes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
