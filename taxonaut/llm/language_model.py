@@ -21,7 +21,7 @@ from .common import written
 
 #: Bytes that UTF-8 never holds: padding before a text, and the end of one.
 PAD, END = b"\xfe", b"\xff"
-PIECE = 4_000_000
+PIECE = 1_000_000
 
 
 def prepared(text: str | None) -> bytes:
@@ -96,7 +96,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for run in pieces([prepared(t) for t in batch.text]):
                 held.append(np.unique(strings(run, order), return_counts=True))
-                if len(held) > 8:
+                if len(held) > 16:
                     held = [summed(held)]
         if held:
             yield pd.DataFrame(dict(zip(("key", "n"), summed(held))))
@@ -131,7 +131,7 @@ def trie(grams: DataFrame, order: int) -> DataFrame:
     return out.groupBy("key").agg(*(F.sum(k).alias(k) for k in ("c", "t", "d", "x")))
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 24_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 16_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """log10 probability of every text, with the words' smoothed unigram score beside it.
 
     Learns from rows where ``held_out`` isn't true and scores all rows, whole.
@@ -162,7 +162,9 @@ def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int =
         for t, out in zip(texts, rows.held_out):
             if out:
                 words.update(dict.fromkeys((w for w in set(t.split()) if w not in words), 0))
-        grams = np.unique(np.concatenate([np.unique(strings(run, order)) for run in pieces(texts)]))
+        grams = np.empty(0, dtype=np.int64)
+        for run in pieces(texts):
+            grams = np.union1d(grams, strings(run, order))
         keys = needed(grams, order)
         key = np.concatenate([np.zeros(len(words), dtype=np.int64), keys])
         word = [w.decode("utf-8", "surrogatepass") for w in words] + [None] * len(keys)
@@ -183,8 +185,12 @@ def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int =
             for t, total in zip(run, sums):
                 values = np.array([logs[w] for w in t.split()])
                 out.append((len(values) + 1, int(np.count_nonzero(values)) + (ends > 0), values.sum() + np.log10(ends + 1.0), total))
-        out = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs", "score"])
-        return pd.concat([rows[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
+        out = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs", "score"]).assign(kinds=-1)
+        out.insert(0, "held_out", rows.held_out.to_numpy())
+        out.insert(0, "doc_id", rows.doc_id.to_numpy())
+        # and a row of sums over the words that no block before has
+        sums = out.iloc[:1].assign(n_tokens=int(own.c[own.fresh].sum()), kinds=int(own.fresh.sum()))
+        return pd.concat([out, sums], ignore_index=True)
 
     asked = dealt.groupBy("block").applyInPandas(wanted, "block int, word string, key long, n long")
     none = F.lit(None).cast("long")
@@ -194,13 +200,13 @@ def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int =
     met = asked.withColumn("rn", F.row_number().over(same.orderBy("block"))).withColumn("n", F.sum("n").over(same))
     for k in ("c", "t", "d", "x"):
         met = met.withColumn(k, F.coalesce(F.max(k).over(same), F.lit(0)))
-    # every column is read here, so that this sum and the slices share one shuffle
-    first = (F.col("rn") == 1) & F.col("word").isNotNull() & (F.col("n") > 0) & (F.col("block") >= 0) & (F.col("c") + F.col("t") + F.col("d") + F.col("x") == 0)
-    total = met.agg(F.count(F.when(first, 1)).alias("kinds"), F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("words"))
-    slices = met.filter("block >= 0").select(F.col("block").alias("to"), "word", "key", F.when(F.col("word").isNotNull(), F.col("n")).otherwise(F.col("c")).alias("c"), "t", "d", "x")
+    word = F.col("word").isNotNull()
+    fresh = word & (F.col("rn") == 1) & (F.col("n") > 0)
+    slices = met.filter("block >= 0").select(F.col("block").alias("to"), "word", "key", F.when(word, F.col("n")).otherwise(F.col("c")).alias("c"), "t", "d", "x", fresh.alias("fresh"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(slices.groupBy("to")).applyInPandas(judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
-    n, v = F.col("words") + ends, F.col("kinds") + int(ends > 0)
-    scored = scored.crossJoin(F.broadcast(total))  # one row of sums
-    base = F.col("logs") - F.col("n_tokens") * F.log10((n + v + 1).cast("double"))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", n.alias("train_tokens"), base.alias("base_score"), "score")
+    scored = dealt.groupBy("block").cogroup(slices.groupBy("to")).applyInPandas(judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, kinds long")
+    scored = written(scored, "ppm-scores")
+    total = scored.filter("kinds >= 0").agg(F.sum("kinds").alias("kinds"), F.sum("n_tokens").alias("words")).first()
+    n, v = (total.words or 0) + ends, (total.kinds or 0) + (ends > 0)
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
+    return scored.filter("kinds < 0").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
