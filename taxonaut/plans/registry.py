@@ -1,6 +1,6 @@
 """All registered queries: name -> (function of session and folder, DuckDB SQL or None)."""
 
-from . import metric_queries
+from . import match_queries, metric_queries
 
-QUERIES = {**metric_queries.QUERIES}
-FLAGSHIP = "a6_topk_accuracy"
+QUERIES = {**match_queries.QUERIES, **metric_queries.QUERIES}
+FLAGSHIP = "g15_rule_only_accuracy"
