@@ -9,7 +9,7 @@ strings that occur in it, so what a task holds is bounded by its own text.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,7 @@ def strings(texts: list[bytes], order: int) -> np.ndarray:
     return keys[whole[order:] != PAD[0]]
 
 
-def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+def pieces(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """Runs of texts of about PIECE bytes."""
     run, size = [], 0
     for t in texts:
@@ -94,7 +94,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for run in pieces([prepared(t) for t in batch.text]):
+            for run in pieces(map(prepared, batch.text)):
                 held.append(np.unique(strings(run, order), return_counts=True))
                 if len(held) > 16:
                     held = [summed(held)]
@@ -131,7 +131,7 @@ def trie(grams: DataFrame, order: int) -> DataFrame:
     return out.groupBy("key").agg(*(F.sum(k).alias(k) for k in ("c", "t", "d", "x")))
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 16_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 10_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """log10 probability of every text, with the words' smoothed unigram score beside it.
 
     Learns from rows where ``held_out`` isn't true and scores all rows, whole.
@@ -154,16 +154,13 @@ def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int =
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def wanted(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = [prepared(t) for t in rows.text]
         words: Counter = Counter()
-        for t, out in zip(texts, rows.held_out):
-            if not out:
-                words.update(t.split())
-        for t, out in zip(texts, rows.held_out):
-            if out:
-                words.update(dict.fromkeys((w for w in set(t.split()) if w not in words), 0))
+        for t in map(prepared, rows.text[~rows.held_out]):
+            words.update(t.split())
+        for t in map(prepared, rows.text[rows.held_out]):
+            words.update(dict.fromkeys((w for w in set(t.split()) if w not in words), 0))
         grams = np.empty(0, dtype=np.int64)
-        for run in pieces(texts):
+        for run in pieces(map(prepared, rows.text)):
             grams = np.union1d(grams, strings(run, order))
         keys = needed(grams, order)
         key = np.concatenate([np.zeros(len(words), dtype=np.int64), keys])
@@ -178,8 +175,11 @@ def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int =
         keys, stats = rest.key.to_numpy(), {k: rest[k].to_numpy(dtype=float) for k in ("c", "t", "d", "x")}
         grams = keys[keys >> 56 == order + 1] & ((1 << 56) - 1)
         log_p = log_probabilities(grams, keys, stats, order)
+        fresh = own.c[own.fresh]
+        kinds, words = len(fresh), int(fresh.sum())
+        del known, own, rest, keys, stats, fresh  # a worker's memory is small
         out = []
-        for run in pieces([prepared(t) for t in rows.text]):
+        for run in pieces(map(prepared, rows.text)):
             found = log_p[np.searchsorted(grams, strings(run, order))]
             sums = np.add.reduceat(found, np.cumsum([0] + [len(t) + 1 for t in run[:-1]]))
             for t, total in zip(run, sums):
@@ -189,7 +189,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int =
         out.insert(0, "held_out", rows.held_out.to_numpy())
         out.insert(0, "doc_id", rows.doc_id.to_numpy())
         # and a row of sums over the words that no block before has
-        sums = out.iloc[:1].assign(n_tokens=int(own.c[own.fresh].sum()), kinds=int(own.fresh.sum()))
+        sums = out.iloc[:1].assign(n_tokens=words, kinds=kinds)
         return pd.concat([out, sums], ignore_index=True)
 
     asked = dealt.groupBy("block").applyInPandas(wanted, "block int, word string, key long, n long")
