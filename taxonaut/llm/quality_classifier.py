@@ -43,8 +43,7 @@ class Model:
     neighbours: int
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        x = weighted(counts, self.weight) @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return unit(weighted(counts, self.weight) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, by positive cosine; the prior where none is."""
@@ -60,13 +59,19 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Square roots of relative frequencies times the weights: long and short texts are alike, and so compare."""
-    share = counts / np.maximum(counts[:, :TERMS].sum(axis=1, keepdims=True), 1)
-    return np.sqrt(share) * weight
+    out = counts / np.maximum(counts[:, :TERMS].sum(axis=1, keepdims=True), 1)
+    np.sqrt(out, out=out)
+    out *= weight
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1500, dims: int = 64, neighbours: int = 25, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1000, dims: int = 64, neighbours: int = 25, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learns from the rows of ``labels`` (doc_id, quality) for which ``usable`` holds.
 
     At most ``per_label`` documents of each label, drawn by a seeded hash, get
@@ -103,17 +108,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = docs.join(F.broadcast(drawn), "doc_id").mapInPandas(vectorise, f"doc_id {kind}, quality int, v binary")  # 2 * per_label rows at most
-    rows = sample.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    if not rows:
-        return Model(weight, np.zeros((WIDTH, 1), np.float32), np.empty((0, 1)), np.empty(0), 1.0 if share is None else float(share), neighbours)
-    x = weighted(np.array([np.frombuffer(r.v, dtype=np.float32) for r in rows]), weight)
+    x, quality = np.empty((2 * per_label, WIDTH), dtype=np.float32), []
+    for r in sample.dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator():
+        x[len(quality)] = np.frombuffer(r.v, dtype=np.float32)
+        quality.append(float(r.quality))
+    prior = 1.0 if share is None else float(share)
+    if not quality:
+        return Model(weight, np.zeros((WIDTH, 1), np.float32), np.empty((0, 1)), np.empty(0), prior, neighbours)
+    x = weighted(x[: len(quality)], weight)
     values, left = np.linalg.eigh(x @ x.T)
     top = np.argsort(values)[::-1][:dims]
     top = top[values[top] > 1e-6 * max(values.max(), 1e-9)]
     axes = (x.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
-    model = Model(weight, axes, np.empty((0, 1)), np.array([r.quality for r in rows], dtype=float), float(share), neighbours)
-    model.vectors = model.embed(np.array([np.frombuffer(r.v, dtype=np.float32) for r in rows])).astype(np.float32)
-    return model
+    return Model(weight, axes, unit(x @ axes).astype(np.float32), np.array(quality), prior, neighbours)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.7, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
