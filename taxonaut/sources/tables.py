@@ -112,13 +112,10 @@ def rank_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_checked(df: DataFrame, path: str, kind: str = "parquet", partition: str | None = None) -> int:
-    """Writes and returns the number of rows, counted while writing."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    out = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").format(kind)
+    """Writes and returns the number of rows that the sink then holds."""
+    out = df.write.mode("overwrite").format(kind)
     (out.partitionBy(partition) if partition else out).save(path)
-    return seen.get["n"]
+    return df.sparkSession.read.format(kind).schema(df.schema).load(path).count()
 
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
