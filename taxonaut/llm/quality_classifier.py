@@ -108,19 +108,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 100
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = docs.join(F.broadcast(drawn), "doc_id").mapInPandas(vectorise, f"doc_id {kind}, quality int, v binary")  # 2 * per_label rows at most
-    x, quality = np.empty((2 * per_label, WIDTH), dtype=np.float32), []
-    for r in sample.dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator():
-        x[len(quality)] = np.frombuffer(r.v, dtype=np.float32)
-        quality.append(float(r.quality))
+    def decompose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+        x = np.empty((len(rows), WIDTH), dtype=np.float32)
+        for i, v in enumerate(rows.v):
+            x[i] = np.frombuffer(v, dtype=np.float32)
+        x = weighted(x, weight)
+        values, left = np.linalg.eigh(x @ x.T)
+        top = np.argsort(values)[::-1][:dims]
+        top = top[values[top] > 1e-6 * max(values.max(), 1e-9)]
+        axes = (x.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
+        vectors = unit(x @ axes).astype(np.float32)
+        out = [("axis", None, axes[:, i].tobytes()) for i in range(axes.shape[1])]
+        out += [("vector", float(q), v.tobytes()) for q, v in zip(rows.quality, vectors)]
+        return pd.DataFrame(out, columns=["kind", "quality", "data"])
+
+    # the bounded sample meets in one task; the driver gets its latent vectors only
+    made = sample.groupBy(F.lit(0).alias("all")).applyInPandas(decompose, "kind string, quality double, data binary").collect()
     prior = 1.0 if share is None else float(share)
-    if not quality:
+    of = lambda kind: [np.frombuffer(r.data, dtype=np.float32) for r in made if r.kind == kind]
+    if not made:
         return Model(weight, np.zeros((WIDTH, 1), np.float32), np.empty((0, 1)), np.empty(0), prior, neighbours)
-    x = weighted(x[: len(quality)], weight)
-    values, left = np.linalg.eigh(x @ x.T)
-    top = np.argsort(values)[::-1][:dims]
-    top = top[values[top] > 1e-6 * max(values.max(), 1e-9)]
-    axes = (x.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
-    return Model(weight, axes, unit(x @ axes).astype(np.float32), np.array(quality), prior, neighbours)
+    quality = np.array([r.quality for r in made if r.kind == "vector"])
+    return Model(weight, np.array(of("axis")).T.copy(), np.array(of("vector")), quality, prior, neighbours)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.7, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
