@@ -3,8 +3,8 @@
 Credentials that carry a label (what the base patterns call them) train one
 probabilistic automaton a kind: their prefix tree, whose statistically
 compatible states are merged. Candidates are scored by how much likelier a
-format makes them than the background automaton, learned the same way from
-tokens without a label.
+format makes them than the background automaton, whose states are symbols: it
+holds what followed each symbol in all tokens without a label.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ KINDS = ("assign", "access", "hex")
 
 #: What may be a credential: a run of its characters that holds a digit, without the marks around it.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TOKEN = re.compile(r"\S{12,}")
 CUE = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 END = ""
 
@@ -148,33 +150,84 @@ def infer(strings: list[str], alpha: float) -> Automaton:
     return out.merge(alpha)
 
 
+def unlabelled(text: str, spans: list[tuple[int, int, int, int]]) -> list[str]:
+    """The candidates and the long ASCII tokens of a whole text that no base span touches."""
+    found = {*candidates(text), *(m.span() for m in TOKEN.finditer(text) if m.group().isascii())}
+    return [text[a:b] for a, b in sorted(found) if not any(s < b and a < e for s, _, e, _ in spans)]
+
+
+class Transitions:
+    """How often each ASCII symbol followed each other one, for any number of tokens; a line feed is start and end."""
+
+    def __init__(self):
+        self.counts = np.zeros(1 << 14, dtype=np.int64)
+        self.held: list[str] = []
+        self.size = 0
+
+    def add(self, tokens: list[str]) -> None:
+        self.held += tokens
+        self.size += sum(map(len, tokens))
+        if self.size > 1_000_000:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            b = np.frombuffer("\n".join(["", *self.held, ""]).encode("ascii"), dtype=np.uint8).astype(np.int64)
+            self.counts += np.bincount(b[:-1] << 7 | b[1:], minlength=1 << 14)
+        self.held, self.size = [], 0
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        self.flush()
+        return [("none", chr(i >> 7) + chr(i & 127), int(self.counts[i])) for i in np.flatnonzero(self.counts)]
+
+
 def labelled(docs: DataFrame, per_kind: int = 300, longest: int = 64, seed: int = 11, text: str = "text") -> DataFrame:
-    """(kind, value): at most ``per_kind`` distinct credentials of each base kind, and as many tokens without a label.
+    """(kind, value, n): at most ``per_kind`` distinct credentials of each base kind, and all tokens without a label.
 
-    Drawn by a seeded hash from all documents. A value is cut at ``longest``
-    characters: formats show at the start.
+    The credentials are drawn by a seeded hash from all documents; a value is
+    cut at ``longest`` characters: formats show at the start. The tokens of all
+    whole documents come as sums: of kind ``none``, value holds two symbols and
+    n says how often the second followed the first.
     """
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ground = Transitions()
         for batch in batches:
             out = set()
             for t in batch.text.dropna():
                 spans = base_spans(t)
-                out |= {(KINDS[k], t[v:e][:longest]) for _, k, e, v in spans}
-                out |= {("none", t[a:b][:longest]) for a, b in candidates(t) if not any(s < b and a < e for s, _, e, _ in spans)}
-                out |= {("none", w[:longest]) for w in t[:2000].split() if len(w) >= 12 and w.isascii()}
-            yield pd.DataFrame(sorted(out), columns=["kind", "value"])
-
-    found = docs.select(F.col(text).alias("text")).mapInPandas(values, "kind string, value string").distinct()
-    order = W.partitionBy("kind").orderBy(F.xxhash64("value", F.lit(seed)), "value")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_kind).select("kind", "value")
+                out |= {(KINDS[k], t[v:e][:longest], 1) for _, k, e, v in spans}
+                ground.add(unlabelled(t, spans))
+            yield pd.DataFrame(sorted(out), columns=["kind", "value", "n"])
+        yield pd.DataFrame(ground.rows(), columns=["kind", "value", "n"])
+
+    found = docs.select(F.col(text).alias("text")).mapInPandas(values, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    alone = F.when(F.col("kind") == "none", F.col("value"))  # each sum ranks first, so one limit serves both
+    order = W.partitionBy("kind", alone).orderBy(F.xxhash64("value", F.lit(seed)), "value")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_kind).select("kind", "value", "n")
+
+
+def background(transitions: list[tuple[str, int]]) -> Automaton:
+    """The automaton of counted pairs of symbols: a state for each symbol, the first one for the start."""
+    out, state = Automaton(), {"\n": 0}
+    for (a, b), n in sorted(transitions):
+        for c in (a, b):
+            if c not in state:
+                state[c] = len(out.counts)
+                out.counts.append({})
+                out.next.append({})
+                out.parent.append((0, c))
+        out.counts[state[a]][END if b == "\n" else b] = n
+        if b != "\n":
+            out.next[state[a]][b] = state[b]
+    return out
 
 
 def learn(examples: DataFrame, alpha: float = 0.05) -> dict[str, Automaton]:
-    """One automaton a kind, each inferred in its own task from its bounded examples."""
+    """One automaton a kind, each in its own task: of bounded examples, the background of bounded counts."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        made = infer(sorted(rows.value), alpha)
+        made = background(list(zip(rows.value, rows.n))) if rows.kind.iloc[0] == "none" else infer(sorted(rows.value), alpha)
         number = {state: i for i, state in enumerate(made.states())}
         edges = [(rows.kind.iloc[0], number[i], c, n, number.get(made.next[i].get(c), -1)) for i in number for c, n in made.counts[i].items()]
         return pd.DataFrame(edges, columns=["kind", "state", "symbol", "n", "to"])

@@ -303,6 +303,22 @@ def test_secret_scan(spark, docs, none):
     assert secret_scan.scan(none, {}).count() == 0 and secret_scan.learn(secret_scan.labelled(none)) == {}
 
 
+def test_background_holds_all_unlabelled_tokens(spark):
+    """Tokens far beyond the start of a text, of more kinds than a sample would hold, count each time; labelled ones don't."""
+    lead, tails = "plain words " * 400, [f"~{i:05d}-{'xyz'[i % 3] * 12}" for i in range(700)]
+    texts = [f"{lead}{t} {t} password=zq{i:08d}" for i, t in enumerate(tails)] + [None, ""]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = collections.Counter()
+    for t in tails:
+        for token in (t, t, t[1:], t[1:]):  # the token, and the candidate in it
+            want.update(zip("\n" + token, token + "\n"))
+    rows = secret_scan.labelled(table).collect()
+    assert {tuple(r.value): r.n for r in rows if r.kind == "none"} == dict(want)
+    assert sum(r.kind == "assign" for r in rows) == 300
+    ground = secret_scan.learn(secret_scan.labelled(table))["none"]
+    assert sum(map(sum, (c.values() for c in ground.counts))) == sum(want.values())
+
+
 def test_inferred_automaton():
     strings = [f"AK{a}{b}" for a in "0123456789" for b in "0123456789"]
     made = secret_scan.infer(strings, 0.05)
