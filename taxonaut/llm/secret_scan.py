@@ -27,8 +27,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
-#: What may be a credential: a run of its characters that holds a digit, without the marks around it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may be a credential: by the alphabet and the least length of the widest base pattern; and the parts of such a run.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+PART = re.compile(r"[A-Za-z0-9+_.-]{6,}")
 TOKEN = re.compile(r"\S{12,}")
 CUE = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 END = ""
@@ -45,9 +46,19 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of tokens that may be credentials."""
-    return [m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group())]
+def gaps(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """What the spans taken (by start) leave of a text."""
+    out, at = [], 0
+    for start, _, end, _ in [*taken, (len(text), 0, 0, 0)]:
+        if start > at:
+            out.append((at, start))
+        at = max(at, end)
+    return out
+
+
+def parts(value: str) -> list[tuple[int, int]]:
+    """Spans of the parts between / and = of a candidate that has such marks."""
+    return [m.span() for m in PART.finditer(value)] if "/" in value or "=" in value else []
 
 
 class Automaton:
@@ -151,9 +162,14 @@ def infer(strings: list[str], alpha: float) -> Automaton:
 
 
 def unlabelled(text: str, spans: list[tuple[int, int, int, int]]) -> list[str]:
-    """The candidates and the long ASCII tokens of a whole text that no base span touches."""
-    found = {*candidates(text), *(m.span() for m in TOKEN.finditer(text) if m.group().isascii())}
-    return [text[a:b] for a, b in sorted(found) if not any(s < b and a < e for s, _, e, _ in spans)]
+    """The candidates, their parts and the long ASCII tokens in what the base spans leave of a whole text."""
+    out = []
+    for gap in gaps(text, spans):
+        found = CANDIDATE.findall(text, *gap)
+        out += found
+        out += [v[a:b] for v in found for a, b in parts(v)]
+        out += [w for w in TOKEN.findall(text, *gap) if w.isascii() and not CANDIDATE.fullmatch(w)]
+    return out
 
 
 class Transitions:
@@ -181,13 +197,13 @@ class Transitions:
         return [("none", chr(i >> 7) + chr(i & 127), int(self.counts[i])) for i in np.flatnonzero(self.counts)]
 
 
-def labelled(docs: DataFrame, per_kind: int = 300, longest: int = 64, seed: int = 11, text: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, per_kind: int = 300, seed: int = 11, text: str = "text") -> DataFrame:
     """(kind, value, n): at most ``per_kind`` distinct credentials of each base kind, and all tokens without a label.
 
-    The credentials are drawn by a seeded hash from all documents; a value is
-    cut at ``longest`` characters: formats show at the start. The tokens of all
-    whole documents come as sums: of kind ``none``, value holds two symbols and
-    n says how often the second followed the first.
+    The credentials are drawn by a seeded hash from all documents, each in its
+    full length. The tokens of all whole documents come as sums: of kind
+    ``none``, value holds two symbols and n says how often the second followed
+    the first.
     """
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +212,7 @@ def labelled(docs: DataFrame, per_kind: int = 300, longest: int = 64, seed: int
             out = set()
             for t in batch.text.dropna():
                 spans = base_spans(t)
-                out |= {(KINDS[k], t[v:e][:longest], 1) for _, k, e, v in spans}
+                out |= {(KINDS[k], t[v:e], 1) for _, k, e, v in spans}
                 ground.add(unlabelled(t, spans))
             yield pd.DataFrame(sorted(out), columns=["kind", "value", "n"])
         yield pd.DataFrame(ground.rows(), columns=["kind", "value", "n"])
@@ -208,18 +224,14 @@ def labelled(docs: DataFrame, per_kind: int = 300, longest: int = 64, seed: int
 
 
 def background(transitions: list[tuple[str, int]]) -> Automaton:
-    """The automaton of counted pairs of symbols: a state for each symbol, the first one for the start."""
-    out, state = Automaton(), {"\n": 0}
-    for (a, b), n in sorted(transitions):
-        for c in (a, b):
-            if c not in state:
-                state[c] = len(out.counts)
-                out.counts.append({})
-                out.next.append({})
-                out.parent.append((0, c))
+    """The automaton of counted pairs of symbols: a state for each symbol, the first one for the start; each leads to all."""
+    state = {c: i for i, c in enumerate(["\n", *sorted({c for pair, _ in transitions for c in pair} - {"\n"})])}
+    out = Automaton()
+    out.counts = [{c: 0 for c in state if c != "\n"} for _ in state]
+    out.next = [{c: i for c, i in state.items() if c != "\n"} for _ in state]
+    out.parent = [(0, c) for c in state]
+    for (a, b), n in transitions:
         out.counts[state[a]][END if b == "\n" else b] = n
-        if b != "\n":
-            out.next[state[a]][b] = state[b]
     return out
 
 
@@ -244,65 +256,109 @@ def learn(examples: DataFrame, alpha: float = 0.05) -> dict[str, Automaton]:
     return out
 
 
-def learned_spans(text: str, taken: list[tuple[int, int, int, int]], formats: dict[str, Automaton], margin: float, longest: int) -> list[tuple[int, int]]:
-    """Candidates outside the spans taken that some format makes likelier than the background, by ``margin`` nats a character."""
-    known, ground = [a for k, a in formats.items() if k != "none"], formats.get("none")
-    out = []
-    for a, b in candidates(text) if known and ground else ():
-        if not any(s < b and a < e for s, _, e, _ in taken):
-            value = text[a:b][:longest]
-            if max(f.log_likelihood(value) for f in known) - ground.log_likelihood(value) >= margin * len(value):
-                out.append((a, b))
-    return out
-
-
-def scan(docs: DataFrame, formats: dict[str, Automaton], margin: float = 1.0, longest: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class Judge:
+    """Compares candidates with the formats and the background; remembers a bounded number of short harmless ones."""
+
+    def __init__(self, formats: dict[str, Automaton], margin: float, symbols: int = 66):
+        self.margin, self.symbols = margin, symbols
+        self.known = [self.table(a) for k, a in formats.items() if k != "none"]
+        self.ground = self.table(formats["none"]) if "none" in formats else None
+        self.clean: set[str] = set()
+
+    def table(self, a: Automaton) -> tuple[list[dict[str, tuple[float, int | None]]], list[float]]:
+        """For each state the logs of its symbols with where they lead, and the log of any other symbol."""
+        size = [sum(c.values()) + a.floor * self.symbols for c in a.counts]
+        known = [{c: (math.log((n + a.floor) / t), to.get(c)) for c, n in counts.items()} for counts, to, t in zip(a.counts, a.next, size)]
+        return known, [math.log(a.floor / t) for t in size]
+
+    def likelihood(self, table: tuple, string: str) -> float:
+        """As :meth:`Automaton.log_likelihood`."""
+        known, other = table
+        at, total, lost = 0, 0.0, -math.log(self.symbols)
+        for i, c in enumerate(string):
+            step, at = known[at].get(c) or (other[at], None)
+            total += step
+            if at is None:
+                return total + lost * (len(string) - i)
+        return total + (known[at].get(END) or (other[at], None))[0]
+
+    def gain(self, string: str) -> float:
+        """By how many nats the best format makes a whole string likelier than the background does."""
+        return max(self.likelihood(f, string) for f in self.known) - self.likelihood(self.ground, string)
+
+    def learned(self, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+        """Candidates outside the spans taken that gain ``margin`` nats a character: whole, or those parts that do if they gain more."""
+        out = []
+        for gap in gaps(text, taken) if self.known and self.ground else ():
+            if not self.clean.issuperset(CANDIDATE.findall(text, *gap)):
+                for m in CANDIDATE.finditer(text, *gap):
+                    out += [(m.start() + i, m.start() + j) for i, j in self.secret(m.group())]
+        return out
+
+    def secret(self, value: str) -> list[tuple[int, int]]:
+        """The spans of a candidate that :meth:`learned` takes."""
+        if value in self.clean:
+            return []
+        each = [(i, j, self.gain(value[i:j])) for i, j in [(0, len(value)), *parts(value)]]
+        each = [(i, j, n) for i, j, n in each if n >= self.margin * (j - i)]
+        if each and each[0][:2] == (0, len(value)):
+            each = each[:1] if each[0][2] >= sum(n for *_, n in each[1:]) else each[1:]
+        if not each and len(value) <= 64 and len(self.clean) < 1 << 17:
+            self.clean.add(value)
+        return [(i, j) for i, j, _ in each]
+
+
+def scan(docs: DataFrame, formats: dict[str, Automaton], margin: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Secrets of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_learned.
 
     ``spans`` is ``kind:start:end`` by start, then kind (assign, access, hex,
     learned), with code point offsets, end exclusive. A candidate outside all
-    base spans is added as ``learned`` if some format gives it at least
-    ``margin`` nats a character more than the background does. Null and empty
+    base spans, or its part between / and =, is added as ``learned`` if some
+    format gives the whole of it at least ``margin`` nats a character more than
+    the background does. Null and empty
     texts have no spans. Rows are judged alone: repeated rows get equal
     results, no rows give none, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(formats)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Judge(shared.value, margin)
         for batch in batches:
             out = []
             for key, t in zip(batch.doc_id, batch.text):
                 t = t if isinstance(t, str) else ""
                 spans = base_spans(t)
                 base = [f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans]
-                more = [(a, 3, b, a) for a, b in learned_spans(t, spans, shared.value, margin, longest)]
+                more = [(a, 3, b, a) for a, b in judge.learned(t, spans)]
                 n = [sum(k == i for _, k, _, _ in spans) for i in range(3)]
                 every = [f"{(*KINDS, 'learned')[k]}:{s}:{e}" for s, k, e, _ in sorted(spans + more)]
                 out.append((key, *n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(every), len(more)))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(judge, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(judged, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long")
 
 
-def redact(docs: DataFrame, formats: dict[str, Automaton], mark: str = "[secret]", margin: float = 1.0, longest: int = 64, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, formats: dict[str, Automaton], mark: str = "[secret]", margin: float = 1.0, text: str = "text") -> DataFrame:
     """The documents with every span of :func:`scan` replaced by ``mark``; columns as given, null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(formats)
 
     @F.pandas_udf("string")
-    def clean(column: pd.Series) -> pd.Series:
-        out = []
-        for t in column:
-            if isinstance(t, str):
-                spans = base_spans(t)
-                spans += [(a, 3, b, a) for a, b in learned_spans(t, spans, shared.value, margin, longest)]
-                at, parts = 0, []
-                for start, _, end, _ in sorted(spans):
-                    if start >= at:
-                        parts.append(t[at:start] + mark)
-                    at = max(at, end)
-                t = "".join(parts) + t[at:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
+    def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Judge(shared.value, margin)
+        for column in columns:
+            yield pd.Series([without(t, judge) for t in column], dtype=object)
+
+    def without(t: str | None, judge: Judge) -> str | None:
+        if not isinstance(t, str):
+            return t
+        spans = base_spans(t)
+        spans += [(a, 3, b, a) for a, b in judge.learned(t, spans)]
+        at, kept = 0, []
+        for start, _, end, _ in sorted(spans):
+            if start >= at:
+                kept.append(t[at:start] + mark)
+            at = max(at, end)
+        return "".join(kept) + t[at:]
 
     return docs.withColumn(text, clean(F.col(text)))

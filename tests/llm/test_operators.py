@@ -319,6 +319,32 @@ def test_background_holds_all_unlabelled_tokens(spark):
     assert sum(map(sum, (c.values() for c in ground.counts))) == sum(want.values())
 
 
+def test_candidates_are_scored_whole(spark):
+    """Keys at the end of a long run, without a digit, short or with dots are found; a harmless run with a key's start isn't."""
+    rng = random.Random(4)
+    key = lambda n, letters="qxzjkvwQXZJKVW": "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: rng.choice(["harmless", "ordinary", "folder", "another", "listing", "separate"])
+    path = lambda n: "/".join(word() for _ in range(n))
+    texts = [f"secret={key(rng.choice([8, 20, 40]))} {path(6)} {word()} {word()}" for _ in range(400)]
+    short, dots, late = key(8), f"{key(9)}.{key(9)}.{key(9)}", key(40)
+    run = f"{path(12)}/"
+    assert len(run) > 64
+    cases = [f"see {short} now", f"see {dots} now", f"see {run}{late} now", f"see {key(10)}{'ordinary' * 40} now", f"see {run} now", f"see {path(2)}?{late}&{word()}"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + cases)], "doc_id long, text string")
+    labels = secret_scan.labelled(table.filter(f"doc_id < {len(texts)}").unionByName(spark.createDataFrame([(-1, f"token={dots[::-1]} token={'.'.join(key(9) for _ in range(8))}")], "doc_id long, text string")))
+    formats = secret_scan.learn(labels)
+    got = {r.doc_id - len(texts): r.spans for r in secret_scan.scan(table, formats).collect()}
+    at = lambda i, s: f"learned:{cases[i].index(s)}:{cases[i].index(s) + len(s)}"
+    assert [got[i] for i in range(6)] == [at(0, short), at(1, dots), at(2, late), "", "", at(5, late)]
+    kept = {r.doc_id - len(texts): r.text for r in secret_scan.redact(table, formats).collect()}
+    assert kept[2] == f"see {run}[secret] now" and kept[3] == cases[3]
+    judge = secret_scan.Judge(formats, 1.0)
+    for value in (short, dots, run, run + late, "é"):
+        for kind, table in zip([k for k in formats if k != "none"], judge.known):
+            assert math.isclose(judge.likelihood(table, value), formats[kind].log_likelihood(value))
+    assert max(len(r.value) for r in labels.collect()) == 79
+
+
 def test_inferred_automaton():
     strings = [f"AK{a}{b}" for a in "0123456789" for b in "0123456789"]
     made = secret_scan.infer(strings, 0.05)
