@@ -169,7 +169,7 @@ def vector_model(s, d):
 
 
 def tfidf_model(s, d):
-    rows = table(s, d, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 400).alias("text"), F.col("lang").alias("code"))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text", F.col("lang").alias("code"))
     guess = models.predict(models.fit_tfidf(rows.filter("item_id % 5 <> 0")), rows.filter("item_id % 5 = 0").select("item_id", "text"), 3)
     return metrics.top_k_accuracy(guess.join(rows.select("item_id", F.col("code").alias("true_code")), "item_id"), (1, 2, 3))
 
