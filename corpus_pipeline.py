@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five operators, each on all that its predecessor kept."""
+"""From raw documents to packed training sequences: five operators, each on all that its predecessor kept.
+
+Rows are told apart by id and text, not by id alone: a null id is an id like
+others, and rows that share one but have different texts are judged each.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxonaut.llm import jaccard_join, mixing, packing, quality_classifier, secret_scan
-from taxonaut.llm.common import written
+from taxonaut.llm.common import row_key, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours call good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit(docs, labels, F.lit(True))
-    good = quality_classifier.classify(docs, model).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    good = quality_classifier.classify(keyed, model, doc_id="_key").filter("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(good, "_key", "left_semi").select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes its words, to the nearest whole copy."""
-    taken = mixing.mix(docs).select(F.col("doc_id"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_copies"))
-    out = docs.join(taken, "doc_id").filter("_copies > 0")
+    keyed = docs.withColumn("_key", row_key(*(F.col(c) for c in docs.columns)))
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    taken = mixing.mix(keyed, doc_id="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sum(copies).cast("int").alias("_copies"))
+    out = keyed.dropDuplicates(["_key"]).join(taken, "_key").filter("_copies > 0")  # rows equal in all columns share their copies
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 

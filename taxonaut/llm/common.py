@@ -53,6 +53,11 @@ def seeded(col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("null"))).cast("binary"))
 
 
+def row_key(*cols: Column) -> Column:
+    """64 bits that tell rows apart by these columns; nulls are values of their own."""
+    return F.xxhash64(*(c for col in cols for c in (col.isNull(), col)))
+
+
 def share_of(digest: Column, buckets: int) -> Column:
     """Which of ``buckets`` equal ranges of its first 24 bits a digest falls in; ordered like it."""
     return F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int")

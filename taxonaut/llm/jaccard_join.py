@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, written
+from .common import buckets_for, row_key, written
 from .components import components
 
 #: Bytes of text that are hashed together; a longer text goes alone.
@@ -399,7 +399,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of which one of each component stays: that with the least id. Columns as given.
 
-    Of fully or partly equal rows with that id one stays; documents without words stay all.
+    A null id comes after all others. Rows with one id (or none) but different
+    texts are documents of their own; of one component the least text hash
+    decides between equal ids. Of rows equal in id and text one stays.
+    Documents without words stay all.
     """
-    keep = jaccard_components(docs, size, percent, doc_id=doc_id, text=text).filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(keep, doc_id, "left_semi").dropDuplicates([doc_id])
+    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text))).withColumn("_row", row_key(*(F.col(f"`{c}`") for c in docs.columns)))
+    found = jaccard_components(keyed, size, percent, doc_id="_key", text=text).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), "_key", "_row")
+    first = keyed.select("_key", order.alias("_o")).join(found, "_key").groupBy("component_id").agg(F.min("_o").alias("_o"))
+    return keyed.join(first.select("_o._row"), "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)

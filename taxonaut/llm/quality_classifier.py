@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 100
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = docs.join(F.broadcast(drawn), "doc_id").mapInPandas(vectorise, f"doc_id {kind}, quality int, v binary")  # 2 * per_label rows at most
     def decompose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+        rows = rows.sort_values(["doc_id", "v"]).drop_duplicates("doc_id")  # of the texts of one id the least counts
         x = np.empty((len(rows), WIDTH), dtype=np.float32)
         for i, v in enumerate(rows.v):
             x[i] = np.frombuffer(v, dtype=np.float32)
