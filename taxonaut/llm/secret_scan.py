@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,44 +61,88 @@ def parts(value: str) -> list[tuple[int, int]]:
 
 
 class Automaton:
-    """A probabilistic automaton: for each state, how often each symbol (or the end) followed, and where it leads."""
+    """A probabilistic automaton: for each state, how often each symbol (or the end) followed, and where it leads.
+
+    A symbol that never followed a state has a share by how often all states
+    saw it, and leads where most symbols of the state lead; an end that never
+    came has a small fixed share.
+    """
+
+    #: Counts that a state lends to symbols it hasn't seen, and to an end it hasn't seen.
+    LENT, LENT_END = 3.0, 0.001
+    #: Symbols in all, for what no state has seen.
+    SYMBOLS = 66
 
     def __init__(self):
         self.counts: list[dict[str, int]] = [{}]
         self.next: list[dict[str, int]] = [{}]
-        self.parent: list[tuple[int, str]] = [(-1, "")]
-        self.floor = 0.1
 
-    def add(self, string: str) -> None:
-        """Counts a string in the prefix tree."""
+    def state(self) -> int:
+        self.counts.append({})
+        self.next.append({})
+        return len(self.next) - 1
+
+    def add(self, string: str, deep: int = 256) -> None:
+        """Counts a string in the prefix tree; symbols after the first ``deep`` ones share one state of their branch."""
         at = 0
-        for c in string:
+        for i, c in enumerate(string):
             self.counts[at][c] = self.counts[at].get(c, 0) + 1
             if c not in self.next[at]:
-                self.next[at][c] = len(self.next)
-                self.counts.append({})
-                self.next.append({})
-                self.parent.append((at, c))
+                self.next[at][c] = at if i > deep else self.state()
             at = self.next[at][c]
         self.counts[at][END] = self.counts[at].get(END, 0) + 1
 
+    def differ(self, a: int, b: int, alpha: float) -> bool:
+        """Whether the followers of two states differ by more than chance (Hoeffding)."""
+        n, m = sum(self.counts[a].values()), sum(self.counts[b].values())
+        if not n or not m:
+            return False
+        bound = math.sqrt(math.log(2 / alpha) / 2) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        return any(abs(self.counts[a].get(c, 0) / n - self.counts[b].get(c, 0) / m) > bound for c in self.counts[a].keys() | self.counts[b].keys())
+
     def alike(self, a: int, b: int, alpha: float) -> bool:
-        """Whether the followers of two states, and of all states below both, differ by chance only (Hoeffding)."""
-        todo = [(a, b)]
+        """Whether two states, and all states that the same symbols lead to from both, differ by chance only."""
+        todo, seen = [(a, b)], {(a, b)}
         while todo:
             a, b = todo.pop()
-            n, m = sum(self.counts[a].values()), sum(self.counts[b].values())
-            if not n or not m:
-                continue
-            bound = math.sqrt(math.log(2 / alpha) / 2) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            for c in self.counts[a].keys() | self.counts[b].keys():
-                if abs(self.counts[a].get(c, 0) / n - self.counts[b].get(c, 0) / m) > bound:
-                    return False
-            todo += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys()]
+            if self.differ(a, b, alpha):
+                return False
+            pairs = {(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys()}
+            pairs = {(x, y) for x, y in pairs - seen if x != y}
+            seen |= pairs
+            todo += pairs
         return True
 
+    def joined(self, a: int, b: int) -> Automaton:
+        """The automaton in which b is a, and so are the states that the same symbols lead to."""
+        up = list(range(len(self.next)))
+
+        def find(i: int) -> int:
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        out = Automaton()
+        out.counts, out.next = [dict(x) for x in self.counts], [dict(x) for x in self.next]
+        todo = [(a, b)]
+        while todo:
+            a, b = sorted(map(find, todo.pop()))
+            if a == b:
+                continue
+            up[b] = a
+            for c, n in out.counts[b].items():
+                out.counts[a][c] = out.counts[a].get(c, 0) + n
+            for c, to in out.next[b].items():
+                if c in out.next[a]:
+                    todo.append((out.next[a][c], to))
+                else:
+                    out.next[a][c] = to
+            out.counts[b], out.next[b] = {}, {}
+        out.next = [{c: find(to) for c, to in x.items()} for x in out.next]
+        return out
+
     def fold(self, a: int, b: int) -> None:
-        """Adds the tree below b to state a."""
+        """Adds the tree below b to the tree below a."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
@@ -107,32 +150,48 @@ class Automaton:
                 self.counts[a][c] = self.counts[a].get(c, 0) + n
             below, self.counts[b], self.next[b] = self.next[b], {}, {}
             for c, to in below.items():
-                if c in self.next[a]:
+                if to == b:
+                    self.next[a].setdefault(c, a)
+                elif c in self.next[a]:
                     todo.append((self.next[a][c], to))
                 else:
                     self.next[a][c] = to
-                    self.parent[to] = (a, c)
-
-    def merge(self, alpha: float) -> Automaton:
-        """Goes through the tree in breadth and merges each state with the first kept one that it is compatible with."""
-        kept, fringe = [0], deque(self.next[0][c] for c in sorted(self.next[0]))
-        inside = {0}
-        while fringe:
-            q = fringe.popleft()
-            if q in inside or self.next[self.parent[q][0]].get(self.parent[q][1]) != q:
-                continue
-            for r in kept:
-                if self.alike(r, q, alpha):
-                    up, c = self.parent[q]
-                    self.next[up][c] = r
-                    self.fold(r, q)
-                    fringe.extend(t for c, t in sorted(self.next[r].items()) if t not in inside)
-                    break
-            else:
-                kept.append(q)
-                inside.add(q)
-                fringe.extend(self.next[q][c] for c in sorted(self.next[q]))
-        return self
+
+    def merge(self, alpha: float, least: int = 30) -> Automaton:
+        """Merges compatible states: first those of one depth, then those of different depths.
+
+        States after equally many symbols are one unless their strings show
+        that they differ. Across depths that takes evidence: both have
+        ``least`` strings at least, and all that follows them agrees, the
+        ends included. So few random strings still keep their length and
+        fixed parts, where small states would else be merged into one.
+        """
+        layer, order = [0], [0]
+        while layer:
+            kept: list[int] = []
+            for up in layer:
+                for c, q in sorted(self.next[up].items()):
+                    if q == up:
+                        continue
+                    same = next((r for r in kept if r == q or self.alike(r, q, alpha)), None)
+                    if same is None:
+                        kept.append(q)
+                    elif same != q:
+                        self.fold(same, q)
+                        self.next[up][c] = same
+            layer = kept
+            order += kept
+        out, kept = self, []
+        for q in order:
+            if q and not out.counts[q]:
+                continue  # merged with another by a join
+            if sum(out.counts[q].values()) >= least:
+                same = next((r for r in kept if out.counts[r] and out.alike(r, q, alpha)), None)
+                if same is None:
+                    kept.append(q)
+                else:
+                    out = out.joined(same, q)
+        return out
 
     def states(self) -> list[int]:
         """The states that can be reached, the first one first."""
@@ -144,14 +203,44 @@ class Automaton:
                     todo.append(to)
         return list(seen)
 
-    def log_likelihood(self, string: str, symbols: int = 66) -> float:
-        """Natural log of the string's probability; what never followed has a small share (``floor`` counts)."""
-        at, total = 0, 0.0
-        for c in [*string, END]:
-            counts = self.counts[at] if at is not None else {}
-            total += math.log((counts.get(c, 0) + self.floor) / (sum(counts.values()) + self.floor * symbols))
-            at = self.next[at].get(c) if at is not None else None
-        return total
+    def table(self) -> tuple[list[dict[str, tuple[float, int | None]]], list[float], list[int | None], dict[str, float]]:
+        """Logs for :func:`likelihood`: of each state's symbols with where they lead, what any other starts from, where it leads, and its own share."""
+        total: dict[str, int] = {}
+        for counts in self.counts:
+            for c, n in counts.items():
+                if c != END:
+                    total[c] = total.get(c, 0) + n
+        seen = sum(total.values()) + 0.1 * self.SYMBOLS
+        share = {c: (n + 0.1) / seen for c, n in total.items()}
+        share[END] = 0.1 / seen  # of a symbol that no state has seen
+        known, rest, most = [], [], []
+        for counts, to in zip(self.counts, self.next):
+            size = sum(counts.values()) + self.LENT + self.LENT_END
+            here = {c: (math.log((n + self.LENT * share[c]) / size), to.get(c)) for c, n in counts.items() if c != END}
+            here[END] = (math.log((counts.get(END, 0) + self.LENT_END) / size), None)
+            known.append(here)
+            rest.append(math.log(self.LENT / size))
+            most.append(to[max(to, key=lambda c: (counts.get(c, 0), c))] if to else None)
+        return known, rest, most, {c: math.log(x) for c, x in share.items()}
+
+    def log_likelihood(self, string: str) -> float:
+        """Natural log of the string's probability."""
+        return likelihood(self.table(), string)
+
+
+def likelihood(table: tuple, string: str) -> float:
+    """Natural log of a string's probability by an automaton's table; symbols beyond all its states are equally likely."""
+    known, rest, most, share = table
+    at, total = 0, 0.0
+    for i, c in enumerate(string):
+        step = known[at].get(c)
+        if step is None:
+            step = rest[at] + share.get(c, share[END]), most[at]
+        total += step[0]
+        at = step[1]
+        if at is None:
+            return total - math.log(Automaton.SYMBOLS) * (len(string) - i)
+    return total + known[at][END][0]
 
 
 def infer(strings: list[str], alpha: float) -> Automaton:
@@ -219,8 +308,10 @@ def labelled(docs: DataFrame, per_kind: int = 300, seed: int = 11, text: str = "
 
     found = docs.select(F.col(text).alias("text")).mapInPandas(values, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     alone = F.when(F.col("kind") == "none", F.col("value"))  # each sum ranks first, so one limit serves both
-    order = W.partitionBy("kind", alone).orderBy(F.xxhash64("value", F.lit(seed)), "value")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_kind).select("kind", "value", "n")
+    order = [F.xxhash64("value", F.lit(seed)), F.col("value")]
+    cell = F.pmod(F.xxhash64("value"), F.lit(1024))  # many tasks rank a frequent kind's values before one ranks what they keep
+    first = found.withColumn("r", F.row_number().over(W.partitionBy("kind", alone, cell).orderBy(*order))).filter(F.col("r") <= per_kind)
+    return first.withColumn("r", F.row_number().over(W.partitionBy("kind", alone).orderBy(*order))).filter(F.col("r") <= per_kind).select("kind", "value", "n")
 
 
 def background(transitions: list[tuple[str, int]]) -> Automaton:
@@ -229,7 +320,6 @@ def background(transitions: list[tuple[str, int]]) -> Automaton:
     out = Automaton()
     out.counts = [{c: 0 for c in state if c != "\n"} for _ in state]
     out.next = [{c: i for c, i in state.items() if c != "\n"} for _ in state]
-    out.parent = [(0, c) for c in state]
     for (a, b), n in transitions:
         out.counts[state[a]][END if b == "\n" else b] = n
     return out
@@ -259,32 +349,20 @@ def learn(examples: DataFrame, alpha: float = 0.05) -> dict[str, Automaton]:
 class Judge:
     """Compares candidates with the formats and the background; remembers a bounded number of short harmless ones."""
 
-    def __init__(self, formats: dict[str, Automaton], margin: float, symbols: int = 66):
-        self.margin, self.symbols = margin, symbols
-        self.known = [self.table(a) for k, a in formats.items() if k != "none"]
-        self.ground = self.table(formats["none"]) if "none" in formats else None
+    def __init__(self, formats: dict[str, Automaton], margin: float):
+        self.margin = margin
+        self.known = [a.table() for k, a in formats.items() if k != "none"]
+        self.ground = formats["none"].table() if "none" in formats else None
         self.clean: set[str] = set()
 
-    def table(self, a: Automaton) -> tuple[list[dict[str, tuple[float, int | None]]], list[float]]:
-        """For each state the logs of its symbols with where they lead, and the log of any other symbol."""
-        size = [sum(c.values()) + a.floor * self.symbols for c in a.counts]
-        known = [{c: (math.log((n + a.floor) / t), to.get(c)) for c, n in counts.items()} for counts, to, t in zip(a.counts, a.next, size)]
-        return known, [math.log(a.floor / t) for t in size]
-
-    def likelihood(self, table: tuple, string: str) -> float:
-        """As :meth:`Automaton.log_likelihood`."""
-        known, other = table
-        at, total, lost = 0, 0.0, -math.log(self.symbols)
-        for i, c in enumerate(string):
-            step, at = known[at].get(c) or (other[at], None)
-            total += step
-            if at is None:
-                return total + lost * (len(string) - i)
-        return total + (known[at].get(END) or (other[at], None))[0]
-
     def gain(self, string: str) -> float:
-        """By how many nats the best format makes a whole string likelier than the background does."""
-        return max(self.likelihood(f, string) for f in self.known) - self.likelihood(self.ground, string)
+        """By how many nats the best format makes a whole string likelier than the background does.
+
+        It is at most twice the gain over equal shares of all symbols: what
+        is merely strange to the background is no format's string.
+        """
+        best = max(likelihood(f, string) for f in self.known)
+        return min(best - likelihood(self.ground, string), 2 * (best + math.log(Automaton.SYMBOLS) * (len(string) + 1)))
 
     def learned(self, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
         """Candidates outside the spans taken that gain ``margin`` nats a character: whole, or those parts that do if they gain more."""
@@ -315,8 +393,8 @@ def scan(docs: DataFrame, formats: dict[str, Automaton], margin: float = 1.0, do
     learned), with code point offsets, end exclusive. A candidate outside all
     base spans, or its part between / and =, is added as ``learned`` if some
     format gives the whole of it at least ``margin`` nats a character more than
-    the background does. Null and empty
-    texts have no spans. Rows are judged alone: repeated rows get equal
+    the background does, and half of that more than equal shares of all
+    symbols. Null and empty texts have no spans. Rows are judged alone: repeated rows get equal
     results, no rows give none, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(formats)
