@@ -1,9 +1,11 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 The model is the trie of all byte contexts up to ``order`` in the training
-texts, with method-C escapes and symbol exclusion. It is kept as a table of
-strings, not on any one machine: a block of documents gets just the rows for
-strings that occur in it, so what a task holds is bounded by its own text.
+texts, with symbol exclusion and escapes as likely as what a context has seen
+once. It is kept as tables of strings, not on any one machine. The log
+probability of each different string of the corpus is found once, by joins
+from the longest context down; a block of documents then gets just those of
+its own strings, so what a task holds is bounded by its own text.
 """
 
 from __future__ import annotations
@@ -51,162 +53,169 @@ def pieces(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield run
 
 
-def tagged(keys: np.ndarray, length: int) -> np.ndarray:
-    """The last ``length`` bytes of each string, marked with their number."""
-    return (keys & ((1 << 8 * length) - 1)) | (length << 56)
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(n, at, np.concatenate([c for _, c in parts]))
+    return keys, n
 
 
-def needed(grams: np.ndarray, order: int) -> np.ndarray:
-    """All strings whose counts decide the probability of these: suffixes, and contexts of suffixes."""
-    parts = [tagged(grams, n) for n in range(1, order + 2)] + [tagged(grams >> 8, n) for n in range(order + 1)]
-    return np.unique(np.concatenate([np.unique(p) for p in parts]))
+def counted(docs: DataFrame, order: int) -> DataFrame:
+    """(word, key, n): how often the training texts hold each word and each string of order + 1 bytes of any text.
+
+    A word has key 0, a string the word ''. What only held-out texts hold has n 0.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words: Counter = Counter()
+        for batch in batches:
+            for trains in (True, False):
+                for run in pieces(map(prepared, batch.text[batch.held_out != trains])):
+                    keys, n = np.unique(strings(run, order), return_counts=True)
+                    held.append((keys, n * trains))
+                    for t in run:
+                        words.update(t.split() if trains else dict.fromkeys(t.split(), 0))
+            if len(held) > 16:
+                held = [summed(held)]
+            if len(words) > 500_000:
+                yield of_words(words)
+                words = Counter()
+        yield of_words(words)
+        if held:
+            keys, n = summed(held)
+            yield pd.DataFrame({"word": np.full(len(keys), "", dtype=object), "key": keys, "n": n})
+
+    def of_words(words: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"word": np.array([w.decode("utf-8", "surrogatepass") for w in words], dtype=object), "key": np.zeros(len(words), dtype=np.int64), "n": np.fromiter(words.values(), np.int64, len(words))})
+
+    return docs.select("text", "held_out").mapInPandas(count, "word string, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+
+
+def ending(key: Column, n: int) -> Column:
+    """The last n bytes of a string."""
+    return key.bitwiseAND(F.lit((1 << 8 * n) - 1))
+
 
+def before(key: Column, n: int) -> Column:
+    """The n bytes before the last one."""
+    return ending(F.shiftright(key, 8), n)
 
-def log_probabilities(grams: np.ndarray, keys: np.ndarray, stats: dict[str, np.ndarray], order: int) -> np.ndarray:
-    """log10 P(last byte | the bytes before it) of each string.
 
-    ``keys`` ascends; ``stats`` has, for each key, ``c`` (its count) and, as a
-    context, ``t`` (symbols seen), ``d`` (different ones) and ``x`` (how often
-    those were seen in the next shorter context). What a longer context has
-    seen is excluded from the shorter one; as all contexts were counted on the
-    same texts, that is a difference of sums.
+def trie(grams: DataFrame, order: int) -> dict[int, DataFrame]:
+    """The levels of the model: for each length up to order + 1 its strings (key, n, below).
+
+    The longest strings (key, n) are given with their counts. A shorter one counts the different
+    strings that are longer by a byte in front and end in it: a symbol is new
+    to a context only where the longer context hadn't seen it. ``below`` is
+    the count of the string without its first byte; at most 256 strings share
+    one, so no window is large.
     """
-    out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
-    d_above, x_above = np.zeros(len(grams)), np.zeros(len(grams))
-    for n in range(order, -1, -1):
-        at, own = np.searchsorted(keys, tagged(grams >> 8, n)), np.searchsorted(keys, tagged(grams, n + 1))
-        t, d = stats["t"][at] - x_above, stats["d"][at] - d_above
-        c = stats["c"][own]
-        some = open_ & (d > 0)
-        hit = some & (c > 0)
-        out[hit] += np.log10(c[hit] / (t[hit] + d[hit]))
-        miss = some & ~hit
-        out[miss] += np.log10(d[miss] / (t[miss] + d[miss]))
-        open_ &= ~hit
-        d_above, x_above = stats["d"][at], stats["x"][at]
-    out[open_] -= np.log10(np.maximum(256 - d_above[open_], 1))
+    out, level = {}, grams
+    for n in range(order + 1, 0, -1):
+        tail = ending(F.col("key"), n - 1)
+        rows = level.withColumn("below", F.count(F.lit(1)).over(W.partitionBy(tail))) if n > 1 else level.withColumn("below", F.lit(0).cast("long"))
+        out[n] = written(rows, f"ppm-level-{n}")
+        level = out[n].groupBy(tail.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return out
 
 
-def counted(docs: DataFrame, order: int) -> DataFrame:
-    """Strings of order + 1 bytes in all texts of the column ``text``: key, n."""
+def contexts(level: DataFrame, n: int) -> DataFrame:
+    """What each context of n bytes has seen: t (counts), d (different symbols), s (those seen once), and as the next shorter one counts them x and y."""
+    one = lambda c: F.sum((F.col(c) == 1).cast("long"))
+    return level.groupBy(before(F.col("key"), n).alias("context")).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"), one("n").alias("s"), F.sum("below").alias("x"), one("below").alias("y"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for run in pieces(map(prepared, batch.text)):
-                held.append(np.unique(strings(run, order), return_counts=True))
-                if len(held) > 16:
-                    held = [summed(held)]
-        if held:
-            yield pd.DataFrame(dict(zip(("key", "n"), summed(held))))
-
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        n = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(n, at, np.concatenate([c for _, c in parts]))
-        return keys, n
-
-    return docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def trie(grams: DataFrame, order: int) -> DataFrame:
-    """The model: for each string of up to order + 1 bytes, c, t, d and x as in :func:`log_probabilities`."""
-    cut = lambda col, n: F.col(col).bitwiseAND(F.lit((1 << 8 * n) - 1))
-    tag = lambda col, n: col.bitwiseOR(F.lit(n << 56))
-    level, out = grams, None
-    for n in range(order + 1, 0, -1):  # strings of n bytes, contexts of n - 1
-        shorter = level.groupBy(cut("key", n - 1).alias("key")).agg(F.sum("n").alias("n")) if n > 1 else None
-        rows = level.withColumn("context", F.shiftright("key", 8))
-        if shorter is not None:
-            rows = rows.withColumn("tail", cut("key", n - 1)).join(shorter.select(F.col("key").alias("tail"), F.col("n").alias("below")), "tail")
-        else:
-            rows = rows.withColumn("below", F.lit(0).cast("long"))
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"), F.sum("below").alias("x"))
-        zero = F.lit(0).cast("long")
-        own = level.select(tag(F.col("key"), n).alias("key"), F.col("n").alias("c"), zero.alias("t"), zero.alias("d"), zero.alias("x"))
-        own = own.unionByName(contexts.select(tag(F.col("context"), n - 1).alias("key"), zero.alias("c"), "t", "d", "x"))
-        out = own if out is None else out.unionByName(own)
-        level = shorter
-    return out.groupBy("key").agg(*(F.sum(k).alias(k) for k in ("c", "t", "d", "x")))
-
-
-def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 10_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def log_probabilities(grams: DataFrame, levels: dict[int, DataFrame], order: int) -> DataFrame:
+    """(key, value): log10 P(last byte | the bytes before it) of each string (key, n) of order + 1 bytes.
+
+    An escape from a context has the share (s + 1) / (t + s + 2), its symbols
+    share the rest by their counts. What a longer context has seen is
+    excluded from the shorter ones, by differences of sums. Strings seen in
+    training end at the longest context; only the others go down. Contexts of
+    a byte and less are few by construction and broadcast.
+    """
+    zero = F.lit(0).cast("long")
+    rows = grams.select("key", F.lit(0.0).alias("value"), F.lit(True).alias("open"), zero.alias("d0"), zero.alias("x0"), zero.alias("y0"), F.col("n").alias("c"))
+    done = None
+    for n in range(order, -1, -1):
+        seen = contexts(levels[n + 1], n)
+        rows = rows.withColumn("context", before(F.col("key"), n)).join(F.broadcast(seen) if n < 2 else seen, "context", "left")
+        if n < order:
+            own = levels[n + 1].select(F.col("key").alias("own"), F.col("n").alias("c"))
+            rows = rows.withColumn("own", ending(F.col("key"), n + 1)).join(F.broadcast(own) if n < 2 else own, "own", "left")
+        t, s = F.coalesce("t", zero) - F.col("x0"), F.coalesce("s", zero) - F.col("y0")
+        some = F.col("open") & (F.coalesce("d", zero) > F.col("d0"))
+        hit = some & (F.coalesce("c", zero) > 0)
+        escape = (s + 1) / (t + s + 2)
+        value = F.col("value") + F.when(hit, F.log10((1 - escape) * F.col("c") / t)).when(some, F.log10(escape)).otherwise(0.0)
+        rows = rows.select("key", value.alias("value"), (F.col("open") & ~hit).alias("open"), *(F.coalesce(a, zero).alias(f"{a}0") for a in "dxy"))
+        if n == order:
+            top = written(rows, "ppm-top")
+            done, rows = top.filter("not open").select("key", "value"), top.filter("open")
+    rest = F.when(F.col("open"), F.log10(F.greatest(256 - F.col("d0"), F.lit(1)))).otherwise(0.0)
+    return done.union(rows.select("key", F.col("value") - rest))
+
+
+def score(docs: DataFrame, held_out: Column, order: int = 5, block_bytes: int = 10_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """log10 probability of every text, with the words' smoothed unigram score beside it.
 
     Learns from rows where ``held_out`` isn't true and scores all rows, whole.
     Returns doc_id, held_out, n_tokens (words and one end), n_known, the
     training corpus's train_tokens, base_score (add-one unigrams) and score
-    (bytes of the lower-cased text and its end).
+    (bytes of the lower-cased text and its end). ``order`` is 6 at most.
 
-    A null text is empty and still has its end. Repeated rows count each in
-    training and get equal scores. With nothing to learn from, every byte has
-    probability 1/256. No rows give no rows; other columns are ignored.
+    A null text is empty and still has its end; a null id is an id like
+    others. Repeated rows count each in training and get equal scores. With
+    nothing to learn from, every byte has probability 1/256. No rows give no
+    rows; other columns are ignored.
 
-    The corpus is read once for the counts of the trie and once, dealt into
-    blocks by a hash of the id, for what each block needs and its scores. A
-    string has at most one row a block where rows of a string meet.
+    The corpus is read once for the counts and once, dealt into blocks by a
+    hash of id and text, for what each block needs and its scores. A frequent
+    string has one row a block where it is joined with its one value, which
+    splits as a skewed join does.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = written(trie(written(counted(docs.filter("not held_out"), order), "ppm-counts"), order), "ppm-trie")
+    counts = written(counted(docs, order), "ppm-counts")
+    grams = counts.filter("word = ''").select("key", "n")
+    value = log_probabilities(grams, trie(grams.filter("n > 0"), order), order)
+    words = counts.filter("word <> ''")
+    values = value.select(F.lit("").alias("word"), "key", "value").union(words.select("word", "key", F.col("n").cast("double")))
+    total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     blocks, ends = max(1, -(-(size.bytes or 0) // block_bytes)), size.ends
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    n, v = (total.n or 0) + ends, total.v + (ends > 0)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def wanted(rows: pd.DataFrame) -> pd.DataFrame:
-        words: Counter = Counter()
-        for t in map(prepared, rows.text[~rows.held_out]):
-            words.update(t.split())
-        for t in map(prepared, rows.text[rows.held_out]):
-            words.update(dict.fromkeys((w for w in set(t.split()) if w not in words), 0))
+        words: set[bytes] = set()
         grams = np.empty(0, dtype=np.int64)
         for run in pieces(map(prepared, rows.text)):
             grams = np.union1d(grams, strings(run, order))
-        keys = needed(grams, order)
-        key = np.concatenate([np.zeros(len(words), dtype=np.int64), keys])
-        word = [w.decode("utf-8", "surrogatepass") for w in words] + [None] * len(keys)
-        n = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(keys), dtype=np.int64)])
-        return pd.DataFrame({"block": rows.block.iloc[0], "word": word, "key": key, "n": n})
+            words.update(*map(bytes.split, run))
+        word = np.array([w.decode("utf-8", "surrogatepass") for w in words] + [""] * len(grams), dtype=object)
+        return pd.DataFrame({"block": rows.block.iloc[0], "word": word, "key": np.concatenate([np.zeros(len(words), dtype=np.int64), grams])})
 
     def judge(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        own = known[known.word.notna()]
-        logs = dict(zip((w.encode("utf-8", "surrogatepass") for w in own.word), np.log10(own.c.to_numpy() + 1.0).tolist()))
-        rest = known[known.word.isna()].sort_values("key")
-        keys, stats = rest.key.to_numpy(), {k: rest[k].to_numpy(dtype=float) for k in ("c", "t", "d", "x")}
-        grams = keys[keys >> 56 == order + 1] & ((1 << 56) - 1)
-        log_p = log_probabilities(grams, keys, stats, order)
-        fresh = own.c[own.fresh]
-        kinds, words = len(fresh), int(fresh.sum())
-        del known, own, rest, keys, stats, fresh  # a worker's memory is small
+        own = known[known.word != ""]
+        logs = dict(zip((w.encode("utf-8", "surrogatepass") for w in own.word), np.log10(own.value.to_numpy() + 1.0).tolist()))
+        rest = known[known.word == ""].sort_values("key")
+        grams, log_p = rest.key.to_numpy(), rest.value.to_numpy()
+        del known, own, rest  # a worker's memory is small
         out = []
         for run in pieces(map(prepared, rows.text)):
             found = log_p[np.searchsorted(grams, strings(run, order))]
             sums = np.add.reduceat(found, np.cumsum([0] + [len(t) + 1 for t in run[:-1]]))
             for t, total in zip(run, sums):
                 values = np.array([logs[w] for w in t.split()])
-                out.append((len(values) + 1, int(np.count_nonzero(values)) + (ends > 0), values.sum() + np.log10(ends + 1.0), total))
-        out = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs", "score"]).assign(kinds=-1)
+                base = values.sum() + np.log10(ends + 1.0) - (len(values) + 1) * np.log10(n + v + 1.0)
+                out.append((len(values) + 1, int(np.count_nonzero(values)) + (ends > 0), n, base, total))
+        out = pd.DataFrame(out, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
         out.insert(0, "held_out", rows.held_out.to_numpy())
         out.insert(0, "doc_id", rows.doc_id.to_numpy())
-        # and a row of sums over the words that no block before has
-        sums = out.iloc[:1].assign(n_tokens=words, kinds=kinds)
-        return pd.concat([out, sums], ignore_index=True)
-
-    asked = dealt.groupBy("block").applyInPandas(wanted, "block int, word string, key long, n long")
-    none = F.lit(None).cast("long")
-    asked = asked.select("block", "word", "key", "n", none.alias("c"), none.alias("t"), none.alias("d"), none.alias("x"))
-    asked = asked.unionByName(model.select(F.lit(-1).alias("block"), F.lit(None).cast("string").alias("word"), "key", F.lit(0).cast("long").alias("n"), "c", "t", "d", "x"))
-    same = W.partitionBy("word", "key")
-    met = asked.withColumn("rn", F.row_number().over(same.orderBy("block"))).withColumn("n", F.sum("n").over(same))
-    for k in ("c", "t", "d", "x"):
-        met = met.withColumn(k, F.coalesce(F.max(k).over(same), F.lit(0)))
-    word = F.col("word").isNotNull()
-    fresh = word & (F.col("rn") == 1) & (F.col("n") > 0)
-    slices = met.filter("block >= 0").select(F.col("block").alias("to"), "word", "key", F.when(word, F.col("n")).otherwise(F.col("c")).alias("c"), "t", "d", "x", fresh.alias("fresh"))
+        return out
+
+    asked = dealt.groupBy("block").applyInPandas(wanted, "block int, word string, key long")
+    slices = asked.join(values, ["word", "key"]).select(F.col("block").alias("to"), "word", "key", "value")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(slices.groupBy("to")).applyInPandas(judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, kinds long")
-    scored = written(scored, "ppm-scores")
-    total = scored.filter("kinds >= 0").agg(F.sum("kinds").alias("kinds"), F.sum("n_tokens").alias("words")).first()
-    n, v = (total.words or 0) + ends, (total.kinds or 0) + (ends > 0)
-    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return scored.filter("kinds < 0").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return dealt.groupBy("block").cogroup(slices.groupBy("to")).applyInPandas(judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
