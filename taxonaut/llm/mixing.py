@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -62,27 +62,42 @@ def quotas(plan: DataFrame, shards: int = 24, block: int = 16) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, shards: int = 24, block: int = 16, seed: int = 29, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """How many words of each document the mixture takes.
+    """How many words of each document the mixture takes, and into which shards.
 
     A source's documents, shuffled by seed, form one tape of words that is cut
     into blocks of ``block`` words and read again from its start, ``epochs``
-    times at most. The source's Sainte-Lague quota says how many blocks are
-    read, and so the words of each document. Returns doc_id, source, size
-    (words; null or blank text: 0), source_size, target, taken.
-
-    A null source is a source of its own, sorted last. Repeated ids lie beside
-    each other on the tape, ordered by size. No rows, or no words: target and
-    taken are 0. Other columns are ignored. A hot source is summed in seeded
-    buckets, so no task holds one; only the table of sources is sorted whole.
+    times at most. Each shard in turn reads as many blocks of the tape as its
+    Sainte-Lague quota for the source says, and so takes words of those
+    documents. Returns doc_id, source, size (words; null or blank text: 0),
+    source_size, target, taken and by_shard (the words that each shard takes,
+    shard 0 first; taken is their sum).
+
+    A null source is a source of its own, sorted last; a null id is an id like
+    others. Repeated ids lie beside each other on the tape, ordered by size.
+    No rows, or no words: target and taken are 0. Other columns are ignored. A
+    hot source is summed in seeded buckets, so no task holds one; only the
+    table of sources is sorted whole.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), group_key(F.col(source)).alias("key"), n_words(text).alias("size"), seeded(F.col(doc_id), seed).alias("_h"))
     rows = rows.withColumn("_b", share_of(F.col("_h"), buckets_for(docs.count())))
     plan = targets(rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights, epochs)
-    took = quotas(plan, shards, block).groupBy("key").agg(F.sum("blocks").alias("blocks"))
-    words = F.least(F.coalesce("blocks", F.lit(0)) * block, epochs * F.col("source_size"))
-    plan = plan.join(took, "key", "left").withColumn("words", words).select("key", "target", "words")
+    earlier = W.partitionBy("key").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    reads = F.struct("shard", F.coalesce(F.sum("blocks").over(earlier), F.lit(0)).alias("first"), "blocks")
+    took = quotas(plan, shards, block).select("key", reads.alias("r")).groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("reads"))
+    plan = plan.join(took, "key", "left").select("key", "target", "reads")
     rows = ranked(rows, "key", "_b", ["_h", "doc_id", "size"], "size").join(plan, "key")
-    full = F.when(F.col("group_size") > 0, F.floor(F.col("words") / F.col("group_size"))).otherwise(0)
-    rows = rows.withColumn("_e", full).withColumn("_rest", F.col("words") - F.col("_e") * F.col("group_size"))
-    taken = F.col("_e") * F.col("size") + F.least(F.greatest(F.col("_rest") - F.col("start"), F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "source", "size", F.col("group_size").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    rows = rows.withColumn("by_shard", F.coalesce(F.transform("reads", lambda r: words_between(r["first"] * block, r["blocks"] * block, epochs)), F.array_repeat(F.lit(0).cast("long"), shards)))
+    taken = F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "source", "size", F.col("group_size").alias("source_size"), "target", taken.alias("taken"), "by_shard")
+
+
+def words_between(first: Column, n: Column, epochs: int) -> Column:
+    """How many of the n words from ``first`` on are a document's: it has ``size`` of each reading's group_size, from ``start`` on."""
+    whole = F.greatest(F.col("group_size"), F.lit(1))
+
+    def upto(x: Column) -> Column:
+        x = F.least(x, epochs * F.col("group_size"))
+        here = F.least(F.greatest(x % whole - F.col("start"), F.lit(0)), F.col("size"))
+        return F.floor(x / whole) * F.col("size") + here
+
+    return upto(first + n) - upto(first)

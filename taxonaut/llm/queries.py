@@ -55,7 +55,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("by_shard")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
