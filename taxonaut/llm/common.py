@@ -16,23 +16,43 @@ SPACES = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session that names none (a local test) gets a temporary one.
+    A local session that names none gets a temporary one; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+#: Tables that this process has written and not released.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    Results read it until they are saved; then :func:`release` deletes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/taxonaut-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`written` has made in this process, once no result needs them; says how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,28 +79,32 @@ def row_key(*cols: Column) -> Column:
 
 
 def share_of(digest: Column, buckets: int) -> Column:
-    """Which of ``buckets`` equal ranges of its first 24 bits a digest falls in; ordered like it."""
-    return F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int")
+    """Which of ``buckets`` equal ranges of its first 32 bits a digest falls in; ordered like it."""
+    return F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")
 
 
 def ranked(df: DataFrame, group: str | None, bucket: str, order: list[str], size: str | None = None) -> DataFrame:
     """Adds exact positions inside each group without sorting a whole group in one task.
 
-    ``bucket`` must be ordered like ``order``. Buckets are counted first (with
-    map-side combine), offsets come from a running sum over the few buckets of
-    a group, and only the rows of one bucket are sorted together. Adds
-    ``rank`` (from 1), ``group_rows`` and, with ``size``, ``start`` (sum of
-    the sizes before the row) and ``group_size``.
+    ``bucket`` must be an integer ordered like ``order``. Buckets are counted
+    first (with map-side combine); offsets come from running sums over the
+    runs of 1024 buckets of a group, and over the buckets of a run; only the
+    rows of one bucket are sorted together. Adds ``rank`` (from 1),
+    ``group_rows`` and, with ``size``, ``start`` (sum of the sizes before the
+    row) and ``group_size``.
     """
-    keys = [*([group] if group else []), bucket]
+    of = [group] if group else []
+    keys = [*of, bucket]
     sums = [F.count(F.lit(1)).alias("_n"), *([F.sum(size).alias("_s")] if size else [])]
-    cells = df.groupBy(*keys).agg(*sums)
-    whole = W.partitionBy(group) if group else W.partitionBy(F.lit(0))
-    before = whole.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    out = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.sum("_n").over(whole).alias("group_rows")]
-    if size:
-        out += [F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_s").over(whole).alias("group_size")]
-    cells = cells.select(*keys, *out)
+    totals = [("_n", "group_rows"), *([("_s", "group_size")] if size else [])]
+    cells = df.groupBy(*keys).agg(*sums).withColumn("_run", F.shiftright(bucket, 10))
+    whole = W.partitionBy(*of) if of else W.partitionBy(F.lit(0))
+    earlier = lambda w, by: w.orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    sofar = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    runs = cells.groupBy(*of, "_run").agg(*(F.sum(c).alias(c) for c, _ in totals))
+    runs = runs.select(*of, "_run", *(sofar(c, earlier(whole, "_run")).alias(f"{c}1") for c, _ in totals), *(F.sum(c).over(whole).alias(g) for c, g in totals))
+    cells = cells.join(runs, [*of, "_run"])
+    cells = cells.select(*keys, *((F.col(f"{c}1") + sofar(c, earlier(W.partitionBy(*of, "_run"), bucket))).alias(f"{c}0") for c, _ in totals), *(g for _, g in totals))
     inside = W.partitionBy(*keys).orderBy(*order)
     df = df.withColumn("_r", F.row_number().over(inside))
     if size:
@@ -93,4 +117,4 @@ def ranked(df: DataFrame, group: str | None, bucket: str, order: list[str], size
 
 def buckets_for(rows: int, per_bucket: int = 2000) -> int:
     """As many buckets as keep about ``per_bucket`` rows in each."""
-    return max(1, min(1 << 24, -(-rows // per_bucket)))
+    return max(1, min(1 << 30, -(-rows // per_bucket)))
