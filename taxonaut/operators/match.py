@@ -6,7 +6,7 @@ by equi-joins on codes, tokens or first grams.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,17 +20,48 @@ def prepared(items: DataFrame, text: str = "text") -> DataFrame:
     return items.select("item_id", normalize(F.col(text)).alias("norm"), F.array_distinct(tokenize(F.col(text))).alias("tokens"))
 
 
-def contained(items: DataFrame, terms: DataFrame, gram: int = 2) -> DataFrame:
+def grams_of(word: Column, sizes: tuple[int, ...] = (1, 2, 4)) -> Column:
+    """The distinct character runs of these sizes in a word."""
+    one = lambda n: F.coalesce(F.transform(F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1))), lambda i: F.substring(word, i, F.lit(n))), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(one, sizes)))
+
+
+def contained(items: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
     """(item_id, term) for every term that is a substring of an item's normalised text.
 
-    Terms shorter than ``gram`` never match. A term's first gram meets the
-    distinct grams of a text in an equi-join; what meets is then checked. No
-    pair of item and term is looked at unless they share that gram.
+    Terms shorter than ``least`` never match. A term, or of several words its
+    longest one, lies inside a word of the text. So terms meet the different
+    words of all texts, by an equi-join of character runs, and items meet
+    those words by an equi-join: texts aren't copied, nor do all items with a
+    frequent run of characters meet. Only where a term has several words
+    the text is looked at again.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - (gram - 1)), lambda i: F.substring("norm", i, F.lit(gram))))
-    left = items.filter(F.length("norm") >= gram).select("item_id", "norm", F.explode(grams).alias("gram"))
-    right = terms.select("term").distinct().filter(F.length("term") >= gram).withColumn("gram", F.substring("term", 1, gram))
-    return left.join(right, "gram").filter(F.contains("norm", F.col("term"))).select("item_id", "term")
+    words = items.select("item_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).filter("word <> ''")
+    longest = F.aggregate(F.split("term", " "), F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    wanted = terms.select("term").distinct().filter(F.length("term") >= least).withColumn("part", longest)
+    n = F.length("part")
+    wanted = wanted.withColumn("gram", F.substring("part", F.lit(1), F.when(n >= 4, 4).when(n >= 2, 2).otherwise(1)))
+    known = words.select("word").distinct().select("word", F.explode(grams_of(F.col("word"))).alias("gram"))
+    inside = known.join(wanted, "gram").filter(F.contains("word", F.col("part"))).select("word", "term", (F.col("part") != F.col("term")).alias("several"))
+    met = words.join(inside, "word").select("item_id", "term", "several").distinct()
+    checked = met.filter("several").join(items.select("item_id", "norm"), "item_id").filter(F.contains("norm", F.col("term")))
+    return met.filter("not several").select("item_id", "term").union(checked.select("item_id", "term"))
+
+
+def found_terms(items: DataFrame, terms: DataFrame) -> DataFrame:
+    """(item_id, term, substring, whole): terms found in the text, as a substring or by a shared token.
+
+    ``whole`` says that the term itself is a token. One pass finds the terms
+    of several tables; the scores below take the result as ``found``.
+    """
+    terms = terms.select("term").distinct()
+    inside = contained(items, terms).select("item_id", "term", F.lit(True).alias("substring"), F.lit(False).alias("whole"))
+    tokens = items.select("item_id", F.explode("tokens").alias("token"))
+    parts = terms.select("term", F.explode(F.array_distinct(F.concat(tokenize(F.col("term")), F.array("term")))).alias("token"))
+    usual = F.array_contains(tokenize(F.col("term")), F.col("token"))
+    parts = parts.withColumn("usual", usual)
+    shared = tokens.join(parts, "token").select("item_id", "term", F.when(F.col("usual"), False).alias("substring"), (F.col("token") == F.col("term")).alias("whole"))
+    return inside.union(shared).groupBy("item_id", "term").agg(F.max("substring").alias("substring"), F.max("whole").alias("whole"))
 
 
 def document_frequency(card_keywords: DataFrame) -> DataFrame:
@@ -38,16 +69,12 @@ def document_frequency(card_keywords: DataFrame) -> DataFrame:
     return card_keywords.select("code", "keyword").distinct().groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
 
 
-def keyword_hits(items: DataFrame, card_keywords: DataFrame) -> DataFrame:
+def keyword_hits(items: DataFrame, card_keywords: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(item_id, code, keyword, substring): keywords found as a substring, or else by a shared token."""
     words = card_keywords.select("code", "keyword").distinct()
-    terms = words.select(F.col("keyword").alias("term")).distinct()
-    whole = contained(items, terms).withColumn("substring", F.lit(True))
-    tokens = items.select("item_id", F.explode("tokens").alias("token"))
-    parts = terms.select("term", F.explode(F.array_distinct(tokenize(F.col("term")))).alias("token"))
-    shared = tokens.join(parts, "token").select("item_id", "term").distinct().withColumn("substring", F.lit(False))
-    hits = whole.unionByName(shared).groupBy("item_id", "term").agg(F.max("substring").alias("substring"))
-    return hits.join(words.withColumnRenamed("keyword", "term"), "term").select("item_id", "code", F.col("term").alias("keyword"), "substring")
+    found = found_terms(items, words.select(F.col("keyword").alias("term"))) if found is None else found
+    hits = found.filter("substring is not null").join(words.withColumnRenamed("keyword", "term"), "term")
+    return hits.select("item_id", "code", F.col("term").alias("keyword"), "substring")
 
 
 def shared_tokens(items: DataFrame, card_keywords: DataFrame) -> DataFrame:
@@ -57,45 +84,50 @@ def shared_tokens(items: DataFrame, card_keywords: DataFrame) -> DataFrame:
     return tokens.join(parts, "token").groupBy("item_id", "code").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def thesaurus_hits(items: DataFrame, thesaurus: DataFrame) -> DataFrame:
+def thesaurus_hits(items: DataFrame, thesaurus: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(item_id, code, hits): terms (term, code) found as a substring or a token."""
-    terms = thesaurus.select("term").distinct()
-    found = contained(items, terms).unionByName(items.select("item_id", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")).distinct()
-    return found.join(thesaurus, "term").groupBy("item_id", "code").agg(F.count(F.lit(1)).alias("hits"))
+    found = found_terms(items, thesaurus) if found is None else found
+    return found.filter("substring or whole").join(thesaurus, "term").groupBy("item_id", "code").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def kb_scores(items: DataFrame, card_keywords: DataFrame, thesaurus: DataFrame | None = None) -> DataFrame:
+def kb_scores(items: DataFrame, card_keywords: DataFrame, thesaurus: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """Candidates of each item: keywords in the text + half of the shared tokens + 1.5 for each thesaurus hit."""
-    whole = keyword_hits(items, card_keywords).filter("substring").groupBy("item_id", "code").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    if found is None and thesaurus is not None:
+        found = found_terms(items, card_keywords.select(F.col("keyword").alias("term")).union(thesaurus.select("term")))
+    whole = keyword_hits(items, card_keywords, found).filter("substring").groupBy("item_id", "code").agg(F.count(F.lit(1)).cast("double").alias("score"))
     token = shared_tokens(items, card_keywords).select("item_id", "code", (0.5 * F.col("shared")).alias("score"))
     every = whole.unionByName(token)
     if thesaurus is not None:
-        every = every.unionByName(thesaurus_hits(items, thesaurus).select("item_id", "code", (1.5 * F.col("hits")).alias("score")))
+        every = every.unionByName(thesaurus_hits(items, thesaurus, found).select("item_id", "code", (1.5 * F.col("hits")).alias("score")))
     return every.groupBy("item_id", "code").agg(F.sum("score").alias("score"))
 
 
-def card_scores(items: DataFrame, card_keywords: DataFrame) -> DataFrame:
+def card_scores(items: DataFrame, card_keywords: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """ln(1 + matched keywords) and the specificity (sum of ln(N / df)) of each item and code."""
-    hits = keyword_hits(items, card_keywords)
+    hits = keyword_hits(items, card_keywords, found)
     n = card_keywords.agg(F.countDistinct("code").alias("n"))
     idf = document_frequency(card_keywords).join(n).select("keyword", F.log(F.col("n") / F.col("df")).alias("idf"))  # n: one row
     out = hits.join(idf, "keyword").groupBy("item_id", "code").agg(F.count(F.lit(1)).alias("card_hits"), F.sum("idf").alias("idf"))
     return out.select("item_id", "code", "card_hits", F.log1p("card_hits").alias("score_card"), F.col("idf").alias("specificity"))
 
 
-def rule_hits(items: DataFrame, rules: DataFrame) -> DataFrame:
+def signals_of(rules: DataFrame) -> DataFrame:
+    """(rule_id, keyword): the signals of rules, of two characters at least."""
+    return rules.select("rule_id", F.explode(F.array_distinct("signals")).alias("keyword")).filter(F.length("keyword") >= 2)
+
+
+def rule_hits(items: DataFrame, rules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(item_id, rule_id, matched): number of a rule's signals found as substring or by a shared token.
 
     ``rules`` has rule_id, code, chunk_type, polarity, strength, signals.
     """
-    signals = rules.select("rule_id", F.explode(F.array_distinct("signals")).alias("keyword")).filter(F.length("keyword") >= 2)
-    hits = keyword_hits(items, signals.select(F.col("rule_id").alias("code"), "keyword"))
+    hits = keyword_hits(items, signals_of(rules).select(F.col("rule_id").alias("code"), "keyword"), found)
     return hits.groupBy("item_id", F.col("code").alias("rule_id")).agg(F.count(F.lit(1)).alias("matched"))
 
 
-def rule_scores(items: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_scores(items: DataFrame, rules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Sum of weights over matched rules of each item and code, hits, conflict and support."""
-    rows = rule_hits(items, rules).join(rules.select("rule_id", "code", "chunk_type", "polarity", "strength"), "rule_id")
+    rows = rule_hits(items, rules, found).join(rules.select("rule_id", "code", "chunk_type", "polarity", "strength"), "rule_id")
     include = (F.col("chunk_type") == "include_rule") | (F.col("polarity") == "include")
     exclude = ~include & ((F.col("chunk_type") == "exclude_rule") | (F.col("polarity") == "exclude"))
     kind = lambda name: F.col("chunk_type") == name

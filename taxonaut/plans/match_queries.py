@@ -48,16 +48,21 @@ def term_codes(spark, sf_dir):
 
 def rules(spark, sf_dir):
     """A rule for each code and name word: include if the word is more frequent in the code than elsewhere, else soft exclude."""
-    rows = items(spark, sf_dir).select("item_id", "code", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
-    n = items(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    inside = rows.groupBy("code", "word").agg(F.count(F.lit(1)).alias("k"))
-    whole = rows.groupBy("word").agg(F.count(F.lit(1)).alias("kw"))
-    all_n = items(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
+    rows = items(spark, sf_dir).select("code", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("words"))
+    inside = rows.select("code", F.explode("words").alias("word")).groupBy("code", "word").agg(F.count(F.lit(1)).alias("k"))
+    n = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    whole = inside.groupBy("word").agg(F.sum("k").alias("kw"))
+    all_n = n.agg(F.sum("n").alias("total"))
     out = inside.join(n, "code").join(whole, "word").join(all_n)  # one row of the total
     more = F.col("k") * F.col("total") > F.col("kw") * F.col("n")
     return out.select(F.concat_ws("_", "code", "word").alias("rule_id"), "code", F.when(more, "include_rule").otherwise("exclude_rule").alias("chunk_type"), F.when(more, "include").otherwise("exclude").alias("polarity"), F.lit("soft").alias("strength"), F.array("word").alias("signals"))
 
 
+def name_terms(spark, sf_dir):
+    """The different words of all part names: the terms of cards, thesaurus and rules."""
+    return items(spark, sf_dir).select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).distinct()
+
+
 BASE = ITEMS + f""",
 prep AS (SELECT item_id, code, p_name, {norm_sql('text')} AS norm, {tokens_sql('text')} AS tokens FROM items),
 tok AS (SELECT DISTINCT item_id, unnest(tokens) AS token FROM prep),
@@ -94,9 +99,10 @@ def rule_only(spark, sf_dir):
     """The rule-only scorer: card + thesaurus + rules; codes with a net exclusion go, then the five best."""
     it = tokens_of(spark, sf_dir)
     keys = ["item_id", "code"]
-    kb = match.kb_scores(it, cards(spark, sf_dir), term_codes(spark, sf_dir))
-    found = match.rule_scores(it, rules(spark, sf_dir)).select(*keys, "score_rule", "inc_hits", "exc_hits")
-    rows = kb.join(found, keys, "left").withColumn("score", F.round(F.col("score") + 0.5 * F.coalesce("score_rule", F.lit(0.0)), 6))
+    found = match.found_terms(it, name_terms(spark, sf_dir))
+    kb = match.kb_scores(it, cards(spark, sf_dir), term_codes(spark, sf_dir), found)
+    by_rule = match.rule_scores(it, rules(spark, sf_dir), found).select(*keys, "score_rule", "inc_hits", "exc_hits")
+    rows = kb.join(by_rule, keys, "left").withColumn("score", F.round(F.col("score") + 0.5 * F.coalesce("score_rule", F.lit(0.0)), 6))
     return split.top_k(rows.filter("coalesce(inc_hits, 0) >= coalesce(exc_hits, 0)").select(*keys, "score"), 5)
 
 
@@ -124,8 +130,9 @@ def rounded(df):
 
 def all_features(spark, sf_dir):
     it, ck = tokens_of(spark, sf_dir), cards(spark, sf_dir)
-    cand = match.merge_candidates(match.kb_scores(it, ck, term_codes(spark, sf_dir)), ml_items(spark, sf_dir))
-    return match.features(cand, match.card_scores(it, ck), match.rule_scores(it, rules(spark, sf_dir)), items(spark, sf_dir).filter("item_id % 3 = 0"))
+    found = match.found_terms(it, name_terms(spark, sf_dir))
+    cand = match.merge_candidates(match.kb_scores(it, ck, term_codes(spark, sf_dir), found), ml_items(spark, sf_dir))
+    return match.features(cand, match.card_scores(it, ck, found), match.rule_scores(it, rules(spark, sf_dir), found), items(spark, sf_dir).filter("item_id % 3 = 0"))
 
 
 FEATURES = CARD + KB[len(BASE):] + RULE + """,

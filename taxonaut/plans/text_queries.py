@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics, extract, gate, match, metrics, models, retrieval, split
 from .fixtures import ITEMS, PRED, items, predictions, table
-from .match_queries import BASE, FEATURES, KB, all_features, cards, term_codes, tokens_of
+from .match_queries import BASE, FEATURES, KB, all_features, cards, name_terms, term_codes, tokens_of
 
 TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^a-z]+'), lambda t: t <> '')"
 
@@ -123,9 +123,10 @@ def note_table(s, d):
 
 def gated(s, d):
     it = tokens_of(s, d)
-    cand = split.top_k(match.kb_scores(it, cards(s, d), term_codes(s, d)), 10).select("item_id", "code")
+    found = match.found_terms(it, name_terms(s, d))
+    cand = split.top_k(match.kb_scores(it, cards(s, d), term_codes(s, d), found), 10).select("item_id", "code")
     scores = gate.note_scores(cand, it, note_table(s, d))
-    return gate.gate_scores(scores, cand, gate.heading_terms(match.keyword_hits(it, cards(s, d))))
+    return gate.gate_scores(scores, cand, gate.heading_terms(match.keyword_hits(it, cards(s, d), found)))
 
 
 GATE = KB + """,
