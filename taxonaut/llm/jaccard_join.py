@@ -199,8 +199,8 @@ def short_lists(docs: DataFrame, size: int, percent: int, counts: np.ndarray, he
     """The rarest shingles of each document with half of its digest and its size, packed by part; long lists as rows.
 
     Shingles are ordered by their count-min count, then hash: any fixed order
-    finds every link, this one keeps lists short. Counts are upper bounds, so
-    a packed shingle is in at most ``heavy`` documents.
+    finds every link, this one keeps lists short. Up to 65535 the counts are
+    upper bounds, so a packed shingle is in at most ``heavy`` documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -305,7 +305,8 @@ def with_sets(docs: DataFrame, reps: DataFrame, routes: DataFrame, size: int, br
     """
     to = routes.groupBy("sig").agg(F.collect_list(F.struct("hub", "salt", "label", "asks")).alias("routes"))
     to = written(reps.select("sig", "doc_id").join(to, "sig"), "routed")
-    texts = docs.join(F.broadcast(to) if routes.count() <= broadcast_rows else to, "doc_id").select("sig", "routes", "text")
+    same = docs["doc_id"].eqNullSafe(to["doc_id"])
+    texts = docs.join(F.broadcast(to) if routes.count() <= broadcast_rows else to, same).select("sig", "routes", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(size)
@@ -334,7 +335,7 @@ def half_of(sig: Column) -> Column:
     return out
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 1024, broadcast_rows: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 256, block_shingles: int = 200_000, broadcast_rows: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The component of every document under links of Jaccard similarity >= percent / 100.
 
     A document's set: its distinct shingles of ``size`` words (runs of
@@ -342,11 +343,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
     single shingle; one without words, or null, is linked with nothing.
     Returns a row per input row: doc_id, n_shingles, component_id (the least
     id in its component, itself included). Repeated rows are copies; rows with
-    one id but different texts are judged each. Ids must not be null. No rows
-    give no rows; other columns are ignored.
+    one id but different texts are judged each. A null id is linked like
+    others, but is no component's least id unless all its ids are null. No
+    rows give no rows; other columns are ignored.
 
     Equal sets are one node from the start, so copies never form pairs. A
-    group of more than ``block`` documents is cut into blocks that all hold
+    group of more than ``block`` documents, or of more than
+    ``block_shingles`` shingles, is cut into blocks that all hold
     its pivot; documents whose block doesn't tie them to the pivot's component
     are then searched for in every block of the group. So each link is found or
     known to lie inside one component, and no group is held whole. Up to
@@ -358,20 +361,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
     counters = 1 << max(16, min(24, (expected // 128).bit_length()))
     profile = written(profiled(docs, size, counters), "profile")
     counts = merged_counts(profile.filter("part >= 0").select("part", "counts"), counters)
-    heavy = 4 * expected // counters + 1000
+    heavy = min(65_535, 4 * expected // counters + 1000)
     nodes = profile.filter("part < 0").select("doc_id", "sig", "n")
     lists = written(short_lists(docs, size, percent, counts, heavy, buckets_for(expected // 6, 1_000_000)), "short-lists")
     member = written(hubs(lists, percent), "hubs")
 
-    rep = nodes.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).withColumn("id", half_of(F.col("sig")))
+    rep = nodes.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("id", half_of(F.col("sig")))
     rep = written(rep.join(member.select("id").distinct(), "id", "left_semi"), "reps")
-    groups = member.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("long"))
+    sized = member.join(rep.groupBy("id").agg(F.max("n").alias("n")), "id")
+    groups = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.min("id").alias("pivot")).filter("m > 1")
+    groups = groups.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.least(F.ceil(F.col("n") / block_shingles), F.col("m"))).cast("long")).drop("n")
     inside = rep.join(member, "id").join(groups, "hub").select("sig", "hub", "blocks", (F.col("id") == F.col("pivot")).alias("pivot"))
     salt = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     salts = F.when(F.col("pivot") & (F.col("blocks") > 1), everywhere).otherwise(F.array(salt))
     routes = inside.select("sig", "hub", F.explode(salts).alias("salt"), F.col("sig").alias("label"), F.lit(False).alias("asks"))
-    parts = buckets_for(member.count(), block)
+    parts = buckets_for(member.count(), 1024)
     edges = written(linked(with_sets(docs, rep, routes, size, broadcast_rows), percent, False, parts), "links")
     roots = components(edges)
 
