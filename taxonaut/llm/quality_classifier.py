@@ -99,8 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
 
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(usable).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg("quality")).first()[0]
-    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    drawn = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label).select("doc_id", "quality")
+    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1024))  # many tasks rank a label's rows before one ranks what they keep
+    drawn = known.withColumn("r", F.row_number().over(W.partitionBy("quality", cell).orderBy(*order))).filter(F.col("r") <= per_label)
+    drawn = drawn.withColumn("r", F.row_number().over(W.partitionBy("quality").orderBy(*order))).filter(F.col("r") <= per_label).select("doc_id", "quality")
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,9 +139,11 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7, block: int =
     """Score (0 to 1, higher: label 1 likelier) and prediction of every document: doc_id, score, predicted.
 
     Cosines with all labelled vectors are exact, computed for blocks of
-    documents; the nearest vote by their positive cosine. Null and empty texts
-    score the share of label 1, as do all without labelled vectors. Repeated
-    rows score alike, no rows give none, other columns are ignored.
+    documents; the nearest vote by their positive cosine. Null, empty and blank
+    texts have nothing that could be good and score 0. Without labelled
+    vectors all others score the share of label 1 (1 if there are no labels).
+    Repeated rows score alike, null ids are ids like others, no rows give
+    none, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,8 +151,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7, block: int =
         for batch in batches:
             scores = [shared.value.score(np.array([features(t) for t in batch.text.iloc[i : i + block]])) for i in range(0, len(batch), block)]
             got = np.round(np.concatenate(scores), 9) if scores else np.empty(0)
-            empty = (batch.text.isna() | (batch.text == "")).to_numpy()
-            got[empty] = round(shared.value.prior, 9)
+            got[[not isinstance(t, str) or not t.strip() for t in batch.text]] = 0.0
             yield pd.DataFrame({"doc_id": batch.doc_id, "score": got, "predicted": (got >= threshold).astype(np.int32)})
 
     kind = dict(docs.dtypes)[doc_id]
