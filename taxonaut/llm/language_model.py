@@ -23,7 +23,7 @@ from .common import written
 
 #: Bytes that UTF-8 never holds: padding before a text, and the end of one.
 PAD, END = b"\xfe", b"\xff"
-PIECE = 1_000_000
+PIECE = 1 << 18
 
 
 def prepared(text: str | None) -> bytes:
@@ -54,10 +54,14 @@ def pieces(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    n = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(n, at, np.concatenate([c for _, c in parts]))
-    return keys, n
+    """The different keys of ascending runs of (keys, counts), with their sums."""
+    if len(parts) == 1:
+        return parts[0]
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], np.concatenate([c for _, c in parts])[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def counted(docs: DataFrame, order: int) -> DataFrame:
@@ -71,20 +75,22 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
         words: Counter = Counter()
         for batch in batches:
             for trains in (True, False):
-                for run in pieces(map(prepared, batch.text[batch.held_out != trains])):
+                for run in pieces(prepared(t) for t, out in zip(batch.text, batch.held_out) if out != trains):
                     keys, n = np.unique(strings(run, order), return_counts=True)
                     held.append((keys, n * trains))
                     for t in run:
                         words.update(t.split() if trains else dict.fromkeys(t.split(), 0))
-            if len(held) > 16:
-                held = [summed(held)]
-            if len(words) > 500_000:
-                yield of_words(words)
-                words = Counter()
+                    if sum(len(k) for k, _ in held[1:]) > 300_000 + len(held[0][0]) // 2:
+                        held = [summed(held)]
+                    if len(words) > 100_000:
+                        yield of_words(words)
+                        words = Counter()
         yield of_words(words)
         if held:
             keys, n = summed(held)
-            yield pd.DataFrame({"word": np.full(len(keys), "", dtype=object), "key": keys, "n": n})
+            for i in range(0, len(keys), 100_000):
+                some = slice(i, i + 100_000)
+                yield pd.DataFrame({"word": np.full(len(keys[some]), "", dtype=object), "key": keys[some], "n": n[some]})
 
     def of_words(words: Counter) -> pd.DataFrame:
         return pd.DataFrame({"word": np.array([w.decode("utf-8", "surrogatepass") for w in words], dtype=object), "key": np.zeros(len(words), dtype=np.int64), "n": np.fromiter(words.values(), np.int64, len(words))})
@@ -157,7 +163,7 @@ def log_probabilities(grams: DataFrame, levels: dict[int, DataFrame], order: int
     return done.union(rows.select("key", F.col("value") - rest))
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 5, block_bytes: int = 10_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 10_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """log10 probability of every text, with the words' smoothed unigram score beside it.
 
     Learns from rows where ``held_out`` isn't true and scores all rows, whole.
@@ -189,10 +195,11 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, block_bytes: int =
 
     def wanted(rows: pd.DataFrame) -> pd.DataFrame:
         words: set[bytes] = set()
-        grams = np.empty(0, dtype=np.int64)
+        parts = []
         for run in pieces(map(prepared, rows.text)):
-            grams = np.union1d(grams, strings(run, order))
+            parts.append(np.unique(strings(run, order)))
             words.update(*map(bytes.split, run))
+        grams = np.unique(np.concatenate(parts))
         word = np.array([w.decode("utf-8", "surrogatepass") for w in words] + [""] * len(grams), dtype=object)
         return pd.DataFrame({"block": rows.block.iloc[0], "word": word, "key": np.concatenate([np.zeros(len(words), dtype=np.int64), grams])})
 
@@ -204,7 +211,10 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, block_bytes: int =
         del known, own, rest  # a worker's memory is small
         out = []
         for run in pieces(map(prepared, rows.text)):
-            found = log_p[np.searchsorted(grams, strings(run, order))]
+            keys = strings(run, order)
+            at = np.argsort(keys)
+            found = np.empty(len(keys))
+            found[at] = log_p[np.searchsorted(grams, keys[at])]
             sums = np.add.reduceat(found, np.cumsum([0] + [len(t) + 1 for t in run[:-1]]))
             for t, total in zip(run, sums):
                 values = np.array([logs[w] for w in t.split()])

@@ -80,6 +80,26 @@ def test_mix(docs, none, rows):
     assert (blank.taken == 0).all() and (blank.target == 0).all()
 
 
+def test_shards_take_their_quotas(spark, docs, rows):
+    """Each shard takes of each source what a brute-force apportionment of the shards so far, less that of those before, gives it."""
+    extra = spark.createDataFrame([(None, "a b c", "a", *rows[0][3:]), (None, "d e", None, *rows[0][3:])], SCHEMA)
+    out = mixing.mix(docs.union(extra), block=4, shards=5).toPandas()
+    assert (out.by_shard.map(sum) == out.taken).all() and out.doc_id.isna().sum() == 2
+    goal = {(s or ""): (g.target.iloc[0], int(g.source_size.iloc[0])) for s, g in out.assign(source=out.source.where(out.source.notna(), "")).groupby("source")}
+    names = [*sorted(s for s in goal if s), ""]
+    house = round(sum(n for _, n in goal.values()) / 4)
+
+    def seats(n):
+        won = sorted(((-goal[s][0] / (2 * j - 1), names.index(s)) for s in names for j in range(1, n + 1)))[:n]
+        return collections.Counter(names[i] for _, i in won)
+
+    for k in range(5):
+        now, then = seats(house * (k + 1) // 5), seats(house * k // 5)
+        for s in names:
+            got = sum(b[k] for b, x in zip(out.by_shard, out.source) if (x if isinstance(x, str) else "") == s)
+            assert got == min(4 * now[s], 3 * goal[s][1]) - min(4 * then[s], 3 * goal[s][1])
+
+
 def test_seats_are_sainte_lague(spark):
     sizes = spark.createDataFrame([("=a", "a", 1000), ("=b", "b", 300), ("=c", "c", 5), ("", None, 70)], "key string, source string, source_size long")
     plan = mixing.targets(sizes)
@@ -116,7 +136,7 @@ def test_trusted_by_shuffle_or_broadcast(spark, docs):
     assert quality_rules.likelihood_ratios(docs, ids, 32) == quality_rules.likelihood_ratios(docs, ids, 32, broadcast_rows=0)
 
 
-URLS = ["https://a.example.com/en/7x?q", "http://COM/en/", "http://example.com/en", "x", None, "http://b.net/de/9", "http://example.net/de/8#z", "ftp://org/es/?", "://", "http://a.b.c.com/en/1", "http://xcom/en/", "http://a.example.com/en/7x?q"]
+URLS = ["https://a.example.com/en/7x?q", "http://COM/en/", "http://example.com/en", "x", None, "http://b.net/de/9", "http://example.net/de/8#z", "ftp://org/es/?", "://", "http://a.b.c.com/en/1", "http://xcom/en/", "http://a.example.com/en/7x?q", "http://com\x01evil/en/", "http://a.com\x02b/en/", "http://a\x01.com/en/", "http://b.com\x01/en/", "http://x..com/en/", "http://.com/en/"]
 
 
 def test_url_filter(spark):
@@ -130,6 +150,11 @@ def test_url_filter(spark):
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         fits = [(len(h), len(p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+    odd = spark.createDataFrame([(None, "http://com/en/1"), (None, None), (3, "http://com/en/1"), (3, "http://com/en/1")], "page_id long, url string")
+    assert sorted(map(str, (tuple(r) for r in url_filters.filter_urls(odd, table, per_segment=1).collect()))) == sorted(map(str, [(None, "com", "/en/1", "com/en/", "block"), (None, "", "", None, "allow"), *[(3, "com", "/en/1", "com/en/", "block")] * 2]))
+    many = spark.createDataFrame([(f"h{i % 50}.net", f"/p{i}", "block") for i in range(500)], "host string, path string, verdict string")  # more rules than pages
+    got = {r.page_id: r.rule for r in url_filters.filter_urls(spark.createDataFrame([(i, f"http://s.h{i % 50}.net/p{i}/x") for i in range(0, 500, 7)], "page_id long, url string"), many, per_segment=5).collect()}
+    assert got == {i: f"h{i % 50}.net/p{i}" for i in range(0, 500, 7)}
     assert url_filters.filter_urls(pages.limit(0), table).count() == 0
     assert {r.verdict for r in url_filters.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
 
@@ -193,6 +218,12 @@ def test_jaccard(spark, none, rows, size, percent, block):
     table = spark.createDataFrame([(i, t, 7, "s") for i, t in every], "doc_id long, text string, n long, sig string")
     out = jaccard_join.jaccard_components(table, size, percent, block=block, broadcast_rows=0 if block == 3 else 500_000)
     assert sorted(map(tuple, out.collect())) == brute_components(every, size, percent)
+    small = jaccard_join.jaccard_components(table, size, percent, block_shingles=150)
+    assert sorted(map(tuple, small.collect())) == brute_components(every, size, percent)
+    some = [(2000, "q r s t u v"), (None, "q r s t u v"), (None, "only here one two three"), (None, ""), (None, None)]
+    odd = jaccard_join.jaccard_components(table.union(spark.createDataFrame([(*r, 7, "s") for r in some], table.schema)), size, percent).filter("doc_id is null or doc_id = 2000")
+    n = 7 - size
+    assert sorted(map(str, map(tuple, odd.collect()))) == sorted(map(str, [(2000, n, 2000), (None, n, 2000), (None, 6 - size, None), (None, 0, None), (None, 0, None)]))
     if block == 3:
         assert jaccard_join.jaccard_components(none, size, percent).count() == 0
         kept = jaccard_join.keep_first(table, size, percent)
@@ -259,8 +290,8 @@ def test_ppm(spark, docs, none, rows):
 
 
 def test_ppm_beats_words_on_held_out_text(spark):
-    """Bits a byte of held-out texts, on the larger of the given tables."""
-    out = language_model.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    """Bits a byte of held-out texts, with contexts of five bytes on the larger of the given tables."""
+    out = language_model.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, order=5)
     sums = out.filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert sums[0] > 1.02 * sums[1]
 
@@ -408,10 +439,41 @@ def test_classifier(spark, none):
     model = quality_classifier.fit(table, labels, F.lit(True), dims=8, neighbours=5)
     out = {r.doc_id: r for r in quality_classifier.classify(table, model).collect()}
     assert all(out[i].predicted == int(i < 80) for i in range(160)) and all(0 <= r.score <= 1 for r in out.values())
-    assert out[160].score == out[161].score == round(model.prior, 9)
+    assert out[160].score == out[161].score == out[160].predicted == 0
+    twice = quality_classifier.classify(table.union(table.filter("doc_id = 1")).union(spark.createDataFrame([(None, texts[1], 0.5)], table.schema)), model).collect()
+    assert len(twice) == len(texts) + 2 and {r.score for r in twice if r.doc_id in (1, None)} == {out[1].score}
     assert quality_classifier.classify(none, model).count() == 0
     empty = quality_classifier.fit(table, labels.limit(0), F.lit(True))
-    assert {r.score for r in quality_classifier.classify(table, empty).collect()} == {1.0}
+    assert {r.score for r in quality_classifier.classify(table.filter("doc_id < 160"), empty).collect()} == {1.0}
+
+
+def test_fit_is_latent_semantic(spark):
+    """The vectors are those of a singular value decomposition of the weighted counts, the weights idf over all documents."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "OMEGA"]) for _ in range(rng.randint(3, 30))) for _ in range(30)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality_classifier.fit(table, labels, F.lit(True), dims=5)
+    counts = np.array([quality_classifier.features(t) for t in texts])
+    idf = np.log(31 / ((counts > 0).sum(axis=0) + 1)) + 1
+    terms = quality_classifier.TERMS
+    idf[terms:] = idf[:terms].max() * 4
+    x = np.sqrt(counts / counts[:, :terms].sum(axis=1, keepdims=True)) * idf
+    right = np.linalg.svd(x[:20])[2][:5].T
+    want = x[:20] @ right
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(model.vectors @ model.vectors.T, want @ want.T, atol=1e-3) and sorted(model.labels) == [0.0] * 10 + [1.0] * 10
+
+
+def test_held_out_quality(spark):
+    """Of held-out labelled documents of the given tables, pairs of a good and a bad one are mostly in order."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality_classifier.fit(docs, labels, ~out)
+    got = quality_classifier.classify(docs, model).join(labels, "doc_id").filter(out).select("score", "quality").collect()
+    good, bad = [r.score for r in got if r.quality == 1], [r.score for r in got if r.quality == 0]
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert len(good) > 60 and auc > 0.93
 
 
 def test_votes_are_exact():
