@@ -228,8 +228,11 @@ class Automaton:
         return likelihood(self.table(), string)
 
 
-def likelihood(table: tuple, string: str) -> float:
-    """Natural log of a string's probability by an automaton's table; symbols beyond all its states are equally likely."""
+def likelihood(table: tuple, string: str, least: float = -math.inf) -> float:
+    """Natural log of a string's probability by an automaton's table; symbols beyond all its states are equally likely.
+
+    What falls below ``least`` on the way is -inf.
+    """
     known, rest, most, share = table
     at, total = 0, 0.0
     for i, c in enumerate(string):
@@ -237,6 +240,8 @@ def likelihood(table: tuple, string: str) -> float:
         if step is None:
             step = rest[at] + share.get(c, share[END]), most[at]
         total += step[0]
+        if total < least:
+            return -math.inf
         at = step[1]
         if at is None:
             return total - math.log(Automaton.SYMBOLS) * (len(string) - i)
@@ -358,11 +363,13 @@ class Judge:
     def gain(self, string: str) -> float:
         """By how many nats the best format makes a whole string likelier than the background does.
 
-        It is at most twice the gain over equal shares of all symbols: what
-        is merely strange to the background is no format's string.
+        It is at most twice the gain over equal shares of all symbols, and
+        -inf below ``margin``: what is merely strange to the background is no
+        format's string.
         """
-        best = max(likelihood(f, string) for f in self.known)
-        return min(best - likelihood(self.ground, string), 2 * (best + math.log(Automaton.SYMBOLS) * (len(string) + 1)))
+        blind = -math.log(Automaton.SYMBOLS) * (len(string) + 1)
+        best = max(likelihood(f, string, blind + self.margin * len(string) / 2) for f in self.known)
+        return min(best - likelihood(self.ground, string), 2 * (best - blind)) if best > -math.inf else best
 
     def learned(self, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
         """Candidates outside the spans taken that gain ``margin`` nats a character: whole, or those parts that do if they gain more."""
