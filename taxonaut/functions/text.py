@@ -109,7 +109,7 @@ def truncate(text: Column, most: int) -> Column:
 
 
 def sentences(text: Column, pattern: str = r"[.。]\s*", least: int = 10) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), lambda x: F.trim(x)), lambda s: F.length(s) >= least)
 
 
 def row_id(*parts: Column) -> Column:

@@ -138,7 +138,7 @@ def note_type(content: Column) -> Column:
 
 def note_keywords(content: Column, n: int = 10) -> Column:
     """Quoted terms, noun phrases, heading references; distinct, 2 to 30 characters, the first n."""
-    quoted = F.transform(F.regexp_extract_all(content, F.lit("[\"']([^\"']{2,30})[\"']"), 1), F.trim)
+    quoted = F.transform(F.regexp_extract_all(content, F.lit("[\"']([^\"']{2,30})[\"']"), 1), lambda x: F.trim(x))
     nouns = F.regexp_extract_all(content, F.lit(r"([가-힣]{2,15})\s*(?:의\s*것|으로\s*한\s*것|이?나\s*것)"), 1)
     heads = F.transform(F.regexp_extract_all(content, F.lit(r"제(\d{4})호"), 1), lambda h: F.concat(F.lit("제"), h, F.lit("호")))
     return F.slice(F.array_distinct(F.filter(F.concat(quoted, nouns, heads), lambda k: F.length(k).between(2, 30))), 1, n)
@@ -239,8 +239,8 @@ def parsed_answer(text: Column, schema: str) -> Column:
 
 def case_terms(cases: DataFrame, name: str = "name", description: str = "description") -> DataFrame:
     """Terms of a case: parts of its name (2 to 50 characters) and bracketed terms of its description (2 to 30)."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(name), F.lit("")), "[;,]"), F.trim), lambda t: F.length(t).between(2, 50))
-    inside = F.filter(F.transform(F.regexp_extract_all(F.coalesce(F.col(description), F.lit("")), F.lit(r"\(([^)]+)\)"), 1), F.trim), lambda t: F.length(t).between(2, 30))
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(name), F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda t: F.length(t).between(2, 50))
+    inside = F.filter(F.transform(F.regexp_extract_all(F.coalesce(F.col(description), F.lit("")), F.lit(r"\(([^)]+)\)"), 1), lambda x: F.trim(x)), lambda t: F.length(t).between(2, 30))
     return cases.withColumn("term", F.explode(F.concat(parts, inside)))
 
 

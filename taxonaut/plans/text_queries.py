@@ -91,14 +91,6 @@ def expanded(s, d):
     return retrieval.expand(rows, alias_table(s, d)).select("query_id", "expanded")
 
 
-SIGNAL_NAMES = list(extract.SIGNALS)
-
-
-def signal_counts(s, d):
-    rows = extract.signals(table(s, d, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", *(f"{n}_n" for n in SIGNAL_NAMES), *(f"{n}_confidence" for n in SIGNAL_NAMES), "parts_n", "parts_confidence")
-
-
 def turns(s, d):
     """Conversation turns as lines: a user turn begins an item; turn 0 opens the block."""
     rows = table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line_no"), "role", "text")
@@ -214,11 +206,8 @@ QUERIES = {
     "j15_expand": (expanded, f"WITH {ITEMS}, a AS (SELECT DISTINCT string_split(lower(p_name), ' ')[1] AS term, string_split(lower(p_name), ' ')[2] AS alias FROM items), ar AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY alias) AS position FROM a), w AS (SELECT item_id, unnest(string_split(lower(p_name), ' ')) AS term, unnest(range(len(string_split(lower(p_name), ' ')))) AS pos FROM items), m AS (SELECT item_id, string_agg(alias, ' ' ORDER BY pos, position) AS more FROM w JOIN ar ON w.term = ar.term WHERE position <= 3 GROUP BY item_id) SELECT items.item_id AS query_id, concat_ws(' ', text, more) AS expanded FROM items LEFT JOIN m ON m.item_id = items.item_id"),
     "g35_context": (contexts, f"WITH {BM25}, b AS (SELECT query_id, rank, left(text, 900) AS block FROM bm JOIN documents ON doc = doc_id WHERE rank <= 5), c AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM b) SELECT query_id, count(*) AS blocks, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM c WHERE total <= 3000 GROUP BY query_id"),
     "g35_context_passages": (passage_contexts, f"WITH {PASSAGES}, b AS (SELECT query_id, rank, text AS block FROM bm JOIN passages ON doc = doc_id WHERE rank <= 30), c AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM b) SELECT query_id, count(*) AS blocks, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM c WHERE total <= 3600 GROUP BY query_id"),
-    "x4_signals": (signal_counts, None),
     "x28_note_types": (lambda s, d: table(s, d, "documents").select("doc_id", extract.note_type(F.col("text")).alias("note_type")), f"SELECT doc_id, {NOTE} AS note_type FROM documents"),
     "x31_notes_from_lines": (turns, TURNS),
-    "x32_html_lines": (lambda s, d: extract.html_lines(table(s, d, "pages")), None),
-    "x19_terms": (lambda s, d: extract.case_terms(table(s, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("name"), F.col("text").alias("description"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), None),
     "x3_quantities": (lambda s, d: extract.quantities(table(s, d, "documents")).select("doc_id", F.size(F.filter("quantities", lambda x: x["unit"] == "kg")).alias("n_kg"), F.size(F.filter("quantities", lambda x: x["unit"] == "cm")).alias("n_cm")), UNIT_SQL),
     "j9_gate_scores": (gated, f"WITH {GATE} SELECT * FROM gs"),
     "j10_gate": (lambda s, d: gate.apply_gate(gated(s, d)), f"WITH {GATE} SELECT item_id, code, FALSE AS redirected, CAST(NULL AS DOUBLE) AS fixed_score FROM gs WHERE passed UNION ALL SELECT DISTINCT item_id, redirect_to, TRUE, 0.5 FROM gs g WHERE redirect_to IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gs h WHERE h.item_id = g.item_id AND h.code = g.redirect_to)"),
