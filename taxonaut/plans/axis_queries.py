@@ -219,7 +219,7 @@ def boosts(s, d):
     matches = overlaps(s, d, tuple(AXIS_NAMES)).select("item_id", "code", n.alias("n"))
     sums = gate.axis_scores(cand, item_axes(s, d), code_axes(s, d)).groupBy("item_id", "code").agg(F.sum("score").alias("axis_score"))
     clash = attributes.conflict_penalty(cand, item_axes(s, d), code_axes(s, d))
-    return axes.boosted(cand.withColumn("score", (10 - F.col("rank")).cast("double")), matches, sums, clash, attribute_rows(s, d))
+    return axes.boosted(cand.withColumn("score", (10 - F.col("rank")) * 1.0000123), matches, sums, clash, attribute_rows(s, d))
 
 
 BOOST_SQL = " * ".join(f"CASE WHEN list_has_any({a}, {v}) AND left(cd.code, 2) IN ({', '.join(map(repr, c))}) THEN {by} ELSE 1 END" for a, v, c, by in axes.BOOSTS)
@@ -346,7 +346,7 @@ QUERIES = {
     "t15_numbers": (lambda s, d: items(s, d).select("item_id", t.chapter_number(F.concat(F.lit("제 "), F.substring("code", 1, 2), F.lit("류 주"))).alias("chapter"), t.section_number(F.concat(F.lit("제"), F.col("p_size").cast("string"), F.lit(" 부"))).alias("section"), t.roman(F.element_at(F.array(*map(F.lit, t.ROMAN)), (F.col("item_id") % 22 + 1).cast("int"))).alias("roman")), f"WITH {ITEMS} SELECT item_id, CAST(left(code, 2) AS INT) AS chapter, CAST(p_size AS INT) AS section, CAST(item_id % 22 + 1 AS INT) AS roman FROM items"),
     "p1_text": (lambda s, d: table(s, d, "part").select("p_partkey", profiles.built_text(F.col("p_name"), F.when(F.col("p_size") > 20, F.col("p_type"))).alias("text")), "SELECT p_partkey, CASE WHEN p_size > 20 THEN p_name || ' ' || p_type ELSE p_name END AS text FROM part"),
     "p2_enriched": (lambda s, d: items(s, d).select("item_id", t.enriched(F.col("p_name"), F.array(F.struct(F.lower("p_type").alias("name"), F.when(F.col("p_size") > 10, F.col("p_size") / 100).alias("ratio"), F.lit("%").alias("unit"))), F.when(F.col("p_size") > 25, F.lit("공구")), F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0).alias("text")), f"WITH {ITEMS} SELECT item_id, concat_ws(' | ', p_name, '재질: ' || lower(p_type) || CASE WHEN p_size > 10 THEN ' ' || CAST(p_size AS VARCHAR) || '%' ELSE '' END, CASE WHEN p_size > 25 THEN '용도: 공구' END, CASE WHEN p_size % 2 = 0 THEN '세트물품' END, CASE WHEN p_size % 3 = 0 THEN '전기식' END) AS text FROM items"),
-    "p3_projection": (lambda s, d: scorers.projected(predictions(s, d).select("item_id", "code", (F.col("score") + 0.000003).alias("score"), ((F.col("score") + 0.0000007) / 3).alias("confidence"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.repeat("code", 50)).alias("evidence"), F.repeat("code", 80).alias("reasoning"))).withColumn("evidence", joined("evidence")), f"WITH {PRED} SELECT item_id, code, round(score + 0.000003, 4) AS score, round((score + 0.0000007) / 3, 3) AS confidence, array_to_string(list_transform(range(5), lambda i: left(repeat(code, 50), 160)), '|') AS evidence, left(repeat(code, 80), 300) AS reasoning FROM pred"),
+    "p3_projection": (lambda s, d: scorers.projected(predictions(s, d).select("item_id", "code", (F.col("score") + 0.0000037).alias("score"), ((F.col("score") + 0.0000007) / 3).alias("confidence"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.repeat("code", 50)).alias("evidence"), F.repeat("code", 80).alias("reasoning"))).withColumn("evidence", joined("evidence")), f"WITH {PRED} SELECT item_id, code, round(score + 0.0000037, 4) AS score, round((score + 0.0000007) / 3, 3) AS confidence, array_to_string(list_transform(range(5), lambda i: left(repeat(code, 50), 160)), '|') AS evidence, left(repeat(code, 80), 300) AS reasoning FROM pred"),
     "p5_quantity": (lambda s, d: table(s, d, "part").select("p_partkey", t.quantity_holds(F.col("p_size"), F.element_at(F.array(*map(F.lit, [">=", "<=", ">", "<", "=", "?"])), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(25.0)).alias("holds")), "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size >= 25 WHEN 1 THEN p_size <= 25 WHEN 2 THEN p_size > 25 WHEN 3 THEN p_size < 25 WHEN 4 THEN p_size = 25 ELSE FALSE END AS holds FROM part"),
     "p7_low_confidence": (lambda s, d: with_first(s, d).select("item_id", scorers.low_confidence(F.col("p1"), F.col("p2")).alias("low")), f"WITH {FIRST2} SELECT item_id, p1 < 0.5 OR p1 - p2 < 0.15 AS low FROM p"),
     "p10_answer_status": (lambda s, d: with_first(s, d).select("item_id", scorers.answer_status(F.col("item_id") % 5 == 0, F.col("p1")).alias("status")), f"WITH {FIRST2} SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'ASK' WHEN p1 >= 0.7 THEN 'AUTO' WHEN p1 >= 0.4 THEN 'REVIEW' ELSE 'ABSTAIN' END AS status FROM p"),
@@ -384,7 +384,7 @@ QUERIES = {
     "g6_conflict_penalty": (lambda s, d: attributes.conflict_penalty(neighbours(s, d), item_axes(s, d), code_axes(s, d)), f"WITH {AXIS_SCORE} SELECT * FROM cpen"),
     "g7_uncertainty": (lambda s, d: gate.uncertainty(item_axes(s, d), items(s, d)), f"WITH {AXES}, u AS (SELECT items.item_id, count(axis) AS n, count(CASE WHEN confidence < 0.5 THEN 1 END) AS low FROM items LEFT JOIN ia ON ia.item_id = items.item_id AND axis IN ('material', 'processing_state', 'function_use', 'completeness') GROUP BY items.item_id) SELECT item_id, round(least(CASE WHEN n <= 1 THEN 0.4 WHEN n = 2 THEN 0.2 ELSE 0 END + 0.1 * low, 1), 6) AS uncertainty_penalty FROM u"),
     "g8_quantity_rules": (lambda s, d: attributes.quantity_rules(neighbours(s, d), size_rules(s, d), sizes(s, d)), f"WITH {AXES}, q AS (SELECT cd.item_id, cd.code, p_size, substr(cd.code, 4, 1) <> '3' AS own, CAST(left(cd.code, 2) AS INT) % 2 = 0 AS hard FROM cd JOIN items ON items.item_id = cd.item_id) SELECT item_id, code, CAST(own AND p_size > 10 AS INT) * 1.0 AS f_quant_match_score, CAST(own AND hard AND p_size > 40 AS INT) AS f_quant_hard_exclude, CAST(p_size <= 10 AS INT) AS f_quant_missing_value FROM q"),
-    "g9_boosted": (lambda s, d: boosts(s, d).withColumn("score", F.round("score", 4)), f"WITH {AXIS_SCORE}, sm AS (SELECT item_id, code, sum(score) AS s FROM jac GROUP BY item_id, code) SELECT cd.item_id, cd.code, round((10 - rank) * (1 + 0.1 * n) * (1 + 0.15 * coalesce(s, 0)) * (1 - 0.3 * f_conflict_penalty) * {BOOST_SQL}, 4) AS score FROM cd JOIN att ON att.item_id = cd.item_id JOIN ov ON ov.item_id = cd.item_id AND ov.code = cd.code JOIN cpen ON cpen.item_id = cd.item_id AND cpen.code = cd.code LEFT JOIN sm ON sm.item_id = cd.item_id AND sm.code = cd.code"),
+    "g9_boosted": (boosts, f"WITH {AXIS_SCORE}, sm AS (SELECT item_id, code, sum(score) AS s FROM jac GROUP BY item_id, code) SELECT cd.item_id, cd.code, round((10 - rank) * 1.0000123 * (1 + 0.1 * n) * (1 + 0.15 * coalesce(s, 0)) * (1 - 0.3 * f_conflict_penalty) * {BOOST_SQL}, 6) AS score FROM cd JOIN att ON att.item_id = cd.item_id JOIN ov ON ov.item_id = cd.item_id AND ov.code = cd.code JOIN cpen ON cpen.item_id = cd.item_id AND cpen.code = cd.code LEFT JOIN sm ON sm.item_id = cd.item_id AND sm.code = cd.code"),
     "c4_axis_conflicts": (axis_clashes, f"WITH {CLASH} SELECT * FROM cg"),
     "c5_conflict_questions": (lambda s, d: axes.conflict_questions(axis_clashes(s, d), question_table(s)), f"WITH {CLASH} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score * priority DESC, priority DESC, cg.axis) AS INT) AS number, cg.axis, 'Which ' || cg.axis || '?' AS question FROM cg JOIN pr ON pr.axis = cg.axis QUALIFY number <= 3"),
     "c6_missing_axis_questions": (lambda s, d: axes.missing_axis_questions(items(s, d), item_axes(s, d), question_table(s)), f"WITH {CLASH} SELECT items.item_id, CAST(row_number() OVER (PARTITION BY items.item_id ORDER BY priority DESC, pr.axis) AS INT) AS number, pr.axis, 'Which ' || pr.axis || '?' AS question FROM items CROSS JOIN pr WHERE NOT EXISTS (SELECT 1 FROM ia WHERE ia.item_id = items.item_id AND ia.axis = pr.axis AND confidence >= 0.3) QUALIFY number <= 2"),
