@@ -214,12 +214,11 @@ def overlaps(s, d, names=("processing_state", "material", "function_use", "physi
 
 
 def boosts(s, d):
-    cand = neighbours(s, d)
-    n = sum(F.col(f"f_{a}_match") for a in AXIS_NAMES)
-    matches = overlaps(s, d, tuple(AXIS_NAMES)).select("item_id", "code", n.alias("n"))
-    sums = gate.axis_scores(cand, item_axes(s, d), code_axes(s, d)).groupBy("item_id", "code").agg(F.sum("score").alias("axis_score"))
-    clash = attributes.conflict_penalty(cand, item_axes(s, d), code_axes(s, d))
-    return axes.boosted(cand.withColumn("score", (10 - F.col("rank")) * 1.0000123), matches, sums, clash, attribute_rows(s, d))
+    cand, ia, ca = neighbours(s, d), item_axes(s, d), code_axes(s, d)
+    met = cand.join(ia.select("item_id", "axis", "values"), "item_id").join(ca.select("code", "axis", F.col("values").alias("other")), ["code", "axis"])
+    matches = met.groupBy("item_id", "code").agg(F.sum(F.size(F.array_intersect("values", "other"))).alias("n"))
+    sums = gate.axis_scores(cand, ia, ca).groupBy("item_id", "code").agg(F.sum("score").alias("axis_score"))
+    return axes.boosted(cand.withColumn("score", (10 - F.col("rank")) * 1.0000123), matches, sums, attributes.conflict_penalty(cand, ia, ca), axes.attributes(items(s, d), ia, quantity_arrays(s, d)))
 
 
 BOOST_SQL = " * ".join(f"CASE WHEN list_has_any({a}, {v}) AND left(cd.code, 2) IN ({', '.join(map(repr, c))}) THEN {by} ELSE 1 END" for a, v, c, by in axes.BOOSTS)
