@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, buckets_for, group_key, ranked, seeded, share_of
+from .common import SPACES, buckets_for, group_key, ranked, seeded, share_of, written
 
 
 def n_words(text: str):
@@ -61,7 +61,7 @@ def quotas(plan: DataFrame, shards: int = 24, block: int = 16) -> DataFrame:
     return rows.select("key", (F.col("k") - 1).alias("shard"), blocks.alias("blocks"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, shards: int = 24, block: int = 16, seed: int = 29, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, shards: int = 24, block: int = 16, seed: int = 29, broadcast_sources: int = 20_000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How many words of each document the mixture takes, and into which shards.
 
     A source's documents, shuffled by seed, form one tape of words that is cut
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     earlier = W.partitionBy("key").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     reads = F.struct("shard", F.coalesce(F.sum("blocks").over(earlier), F.lit(0)).alias("first"), "blocks")
     took = quotas(plan, shards, block).select("key", reads.alias("r")).groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("reads"))
-    plan = plan.join(took, "key", "left").select("key", "target", "reads")
+    plan = written(plan.join(took, "key", "left").select("key", "target", "reads"), "mix-plan")
+    plan = F.broadcast(plan) if plan.count() <= broadcast_sources else plan  # else a skewed join splits a hot source
     rows = ranked(rows, "key", "_b", ["_h", "doc_id", "size"], "size").join(plan, "key")
     rows = rows.withColumn("by_shard", F.coalesce(F.transform("reads", lambda r: words_between(r["first"] * block, r["blocks"] * block, epochs)), F.array_repeat(F.lit(0).cast("long"), shards)))
     taken = F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, x: a + x)
