@@ -115,6 +115,21 @@ def ranked(df: DataFrame, group: str | None, bucket: str, order: list[str], size
     return df.drop("_n0", "_r", "_s0", "_p")
 
 
+def drawn(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows of each group whose keys have the least seeded hashes; keys must be distinct in a group.
+
+    Rows are counted by the first 12 bits of the hash, so only those of the
+    bits that are needed meet in one task for a group.
+    """
+    hashed = df.withColumn("_d", F.xxhash64(key, F.lit(seed))).withColumn("_c", F.shiftright("_d", 52))
+    w = W.partitionBy(group).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    counts = hashed.groupBy(group, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    need = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter(F.col("_before") < most).select(group, "_c")
+    kept = hashed.join(F.broadcast(need), [group, "_c"])  # 4096 rows a group at most
+    rows = kept.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy("_d", key))).filter(F.col("_r") <= most)
+    return rows.select(df.columns)
+
+
 def buckets_for(rows: int, per_bucket: int = 2000) -> int:
     """As many buckets as keep about ``per_bucket`` rows in each."""
     return max(1, min(1 << 30, -(-rows // per_bucket)))

@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .common import drawn
 
 #: Hashed byte trigrams, then the counts below.
 TERMS = 4096
@@ -99,17 +100,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
 
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(usable).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg("quality")).first()[0]
-    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1024))  # many tasks rank a label's rows before one ranks what they keep
-    drawn = known.withColumn("r", F.row_number().over(W.partitionBy("quality", cell).orderBy(*order))).filter(F.col("r") <= per_label)
-    drawn = drawn.withColumn("r", F.row_number().over(W.partitionBy("quality").orderBy(*order))).filter(F.col("r") <= per_label).select("doc_id", "quality")
+    sample = drawn(known, "quality", "doc_id", per_label, seed).select("doc_id", "quality")
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "v": [features(t).astype(np.float32).tobytes() for t in batch.text]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = docs.join(F.broadcast(drawn), "doc_id").mapInPandas(vectorise, f"doc_id {kind}, quality int, v binary")  # 2 * per_label rows at most
+    vectors = docs.join(F.broadcast(sample), "doc_id").mapInPandas(vectorise, f"doc_id {kind}, quality int, v binary")  # 2 * per_label rows at most
     def decompose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "v"]).drop_duplicates("doc_id")  # of the texts of one id the least counts
         x = np.empty((len(rows), WIDTH), dtype=np.float32)
@@ -126,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
         return pd.DataFrame(out, columns=["kind", "quality", "data"])
 
     # the bounded sample meets in one task; the driver gets its latent vectors only
-    made = sample.groupBy(F.lit(0).alias("all")).applyInPandas(decompose, "kind string, quality double, data binary").collect()
+    made = vectors.groupBy(F.lit(0).alias("all")).applyInPandas(decompose, "kind string, quality double, data binary").collect()
     prior = 1.0 if share is None else float(share)
     of = lambda kind: [np.frombuffer(r.data, dtype=np.float32) for r in made if r.kind == kind]
     if not made:

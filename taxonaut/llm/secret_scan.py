@@ -18,7 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .common import drawn, written
 
 # The base patterns and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -312,11 +313,8 @@ def labelled(docs: DataFrame, per_kind: int = 300, seed: int = 11, text: str = "
         yield pd.DataFrame(ground.rows(), columns=["kind", "value", "n"])
 
     found = docs.select(F.col(text).alias("text")).mapInPandas(values, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    alone = F.when(F.col("kind") == "none", F.col("value"))  # each sum ranks first, so one limit serves both
-    order = [F.xxhash64("value", F.lit(seed)), F.col("value")]
-    cell = F.pmod(F.xxhash64("value"), F.lit(1024))  # many tasks rank a frequent kind's values before one ranks what they keep
-    first = found.withColumn("r", F.row_number().over(W.partitionBy("kind", alone, cell).orderBy(*order))).filter(F.col("r") <= per_kind)
-    return first.withColumn("r", F.row_number().over(W.partitionBy("kind", alone).orderBy(*order))).filter(F.col("r") <= per_kind).select("kind", "value", "n")
+    found = written(found, "secret-examples")
+    return drawn(found.filter("kind <> 'none'"), "kind", "value", per_kind, seed).union(found.filter("kind = 'none'"))
 
 
 def background(transitions: list[tuple[str, int]]) -> Automaton:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxonaut.llm import components, jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, url_filters, vector_search
+from taxonaut.llm import common, components, jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, url_filters, vector_search
 
 SCHEMA = "doc_id long, text string, source string, lang string, rank int, size int, key string, shard int"
 
@@ -109,6 +109,19 @@ def test_mix(docs, none, rows):
     assert (blank.taken == 0).all() and (blank.target == 0).all()
 
 
+def test_drawn_rows_have_the_least_hashes(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(3000)], "i long, g int").withColumn("h", F.xxhash64("i", F.lit(5)))
+    got = {r.i for r in common.drawn(rows.drop("h"), "g", "i", 40, 5).collect()}
+    every = sorted((r.g, r.h, r.i) for r in rows.collect())
+    assert got == {i for g in range(3) for _, _, i in [x for x in every if x[0] == g][:40]}
+    assert common.drawn(rows.limit(0), "g", "i", 40, 5).count() == 0 and common.drawn(rows, "g", "i", 9999, 5).count() == 3000
+
+
+def test_released_tables(spark, docs):
+    table = common.written(docs, "odd")
+    assert table.count() == docs.count() and common.release(spark) >= 1 and common.release(spark) == 0
+
+
 def test_shards_take_their_quotas(spark, docs, rows):
     """Each shard takes of each source what a brute-force apportionment of the shards so far, less that of those before, gives it."""
     extra = spark.createDataFrame([(None, "a b c", "a", *rows[0][3:]), (None, "d e", None, *rows[0][3:])], SCHEMA)
