@@ -334,7 +334,61 @@ cz AS (SELECT *, conf < 0.5 AND CAST(left(case_id, 2) AS INT) % 3 = 0 AS used FR
 SELECT case_id, CASE WHEN used AND len(a) = 0 THEN 'GRI1' ELSE array_to_string(a, '|') END AS applied_rules, CAST(CASE WHEN used AND r = 0 THEN 1 ELSE r END AS INT) AS rejected, CAST(CASE WHEN used AND e = 0 THEN 1 ELSE e END AS INT) AS reasons,
   CASE WHEN used THEN round(least(1, conf + 0.2), 6) ELSE conf END AS confidence, CASE WHEN used THEN 'hybrid' ELSE 'rules' END AS source FROM cz"""
 
+def normal_cases(s, d):
+    """Commentaries as cases: a six-digit decision code for those of even types, no materials."""
+    c = commentary(s, d)
+    six = F.substring("code", 4, 1).cast("int") % 2 == 0
+    rows = c.select(F.col("code").alias("case_id"), F.when(six, F.concat("code", F.lit(".10"))).otherwise(F.concat(F.lit("제"), "code", F.lit("호"))).alias("decision_code"), F.lit(None).cast("string").alias("heading"), F.col("content").alias("rationale"), F.array().cast("array<string>").alias("materials"))
+    return extract.normalized_cases(rows)
+
+
+CASES = COMM + f""", ce AS (SELECT code AS case_id, CASE WHEN CAST(substr(code, 4, 1) AS INT) % 2 = 0 THEN code || '10' ELSE '' END AS code6, len(list_distinct({APPLIED_SQL})) AS a, len(list_distinct({REJECTED_SQL})) AS r, len({DECISIVE_SQL}) AS e FROM comm),
+cs AS (SELECT *, round(CASE WHEN code6 <> '' THEN 0.3 ELSE 0.2 END + CASE WHEN a > 0 THEN 0.2 ELSE 0 END + CASE WHEN e > 0 THEN 0.2 ELSE 0 END + CASE WHEN r > 0 THEN 0.1 ELSE 0 END, 2) AS confidence FROM ce)"""
+
+
+def step_flags(s, d):
+    """Step 2 on computed axes: parts and mixtures by the item's own values."""
+    attrs = attribute_rows(s, d).select("item_id", F.col("is_parts").alias("incomplete"), F.array_contains("material", "alloy").alias("mixture"))
+    one = lambda df, key: df.filter("axis = 'material'").select(key, F.explode("values").alias("material"))
+    parts = code_axes(s, d).filter("axis = 'completeness' and array_contains(values, 'parts')").select("code")
+    return steps.flagged(neighbours(s, d), attrs, parts, one(code_axes(s, d), "code"), one(item_axes(s, d), "item_id")).select("item_id", "code", "parts_penalty", "material_match")
+
+
+def mode_rows(s, d):
+    return table(s, d, "events").select(F.col("event_type").alias("mode"), (F.col("value") > 50).alias("retriever_used"), (F.col("event_id") % 7 == 0).alias("ranker_used"), (F.col("event_id") % 3).alias("score_ml"))
+
+
+def question_lists(s, d):
+    it = items(s, d)
+    first = it.filter("p_size % 2 = 0").select("item_id", F.array(F.lit("a"), F.col("p_type")).alias("questions"))
+    second = it.filter("p_size % 3 = 0").select("item_id", F.array(F.lit("b"), F.lit("a"), F.lit("c")).alias("questions"))
+    third = it.filter("p_size % 5 = 0").select("item_id", F.array().cast("array<string>").alias("questions"))
+    return steps.questions([first, second, third], ["f", "g"]).select("item_id", joined("questions").alias("questions"))
+
+
+def explained(s, d):
+    p = predictions(s, d).filter("rank <= 3")
+    rows = p.select("item_id", "code", (F.col("score") + 0.0000037).alias("score"), F.col("rank").alias("supporting"), (3 - F.col("rank")).alias("conflicting"), F.array(F.concat(F.lit("rule:"), "code"), F.repeat("code", 60)).alias("top"))
+    return attributes.explanation_text(rows).select("item_id", "code", "explanation")
+
+
+def chunk_signals(s, d):
+    return extract.chunks(commentary(s, d)).select("code", "position", joined("signals").alias("signals"))
+
+
+STOP_KO = ", ".join(f"'{w}'" for w in t.STOPWORDS_KO)
+SIGNALS_SQL = CHUNKS_SQL[: CHUNKS_SQL.index("SELECT code, CAST(position")] + f""", w AS (SELECT code, position, list_filter(regexp_extract_all(text, '[가-힣]{{2,10}}'), lambda w: w NOT IN ({STOP_KO})) AS w FROM k WHERE chunk_type <> 'general'),
+u AS (SELECT code, position, unnest(w) AS x, unnest(range(len(w))) AS i FROM w), g AS (SELECT code, position, x, row_number() OVER (PARTITION BY code, position ORDER BY count(*) DESC, min(i)) AS r FROM u GROUP BY code, position, x)
+SELECT w.code, CAST(w.position AS INT) AS position, coalesce(string_agg(x, '|' ORDER BY r), '') AS signals FROM w LEFT JOIN g ON g.code = w.code AND g.position = w.position AND r <= 5 GROUP BY w.code, w.position"""
+
 QUERIES = {
+    "p14_mode_separation": (lambda s, d: diagnostics.mode_separation(mode_rows(s, d)), "SELECT event_type AS mode, count(*) AS n, sum(CAST(value > 50 AS INT)) AS retriever, sum(CAST(event_id % 7 = 0 AS INT)) AS ranker, sum(CAST(event_id % 3 > 0 AS INT)) AS ml, event_type <> 'kb_only' AS valid FROM events GROUP BY event_type"),
+    "x13_chunk_signals": (chunk_signals, SIGNALS_SQL),
+    "x26_cases": (lambda s, d: normal_cases(s, d).select("case_id", "code4", "code6", "code10", F.size("applied_rules").alias("a"), F.size("rejected_codes").alias("r"), F.size("decisive_reasoning").alias("e"), "confidence"), f"WITH {CASES} SELECT case_id, case_id AS code4, code6, '' AS code10, a, r, e, confidence FROM cs"),
+    "a39_case_comparison": (lambda s, d: diagnostics.case_comparison(normal_cases(s, d).withColumn("mode", F.when(F.col("code6") != "", "six").otherwise("four"))), f"WITH {CASES} SELECT CASE WHEN code6 <> '' THEN 'six' ELSE 'four' END AS mode, count(*) AS n, round(avg(CAST(a > 0 AS INT)), 6) AS rules, 0.0 AS code10, round(avg(CAST(code6 <> '' AS INT)), 6) AS code6, round(avg(CAST(r > 0 AS INT)), 6) AS rejected, round(avg(CAST(e > 0 AS INT)), 6) AS decisive, round(avg(confidence), 6) AS confidence FROM cs GROUP BY 1"),
+    "g19_step2": (step_flags, f"WITH {ATTR} SELECT cd.item_id, cd.code, list_contains(completeness, 'parts') AND coalesce(list_contains(kc.vals, 'parts'), FALSE) AS parts_penalty, list_contains(material, 'alloy') AND coalesce(list_has_any(material, km.vals), FALSE) AS material_match FROM cd JOIN att ON att.item_id = cd.item_id LEFT JOIN ca kc ON kc.code = cd.code AND kc.axis = 'completeness' LEFT JOIN ca km ON km.code = cd.code AND km.axis = 'material'"),
+    "c7_questions": (question_lists, f"WITH {ITEMS}, q AS (SELECT item_id, list_concat(CASE WHEN p_size % 2 = 0 THEN ['a', p_type] ELSE [] END, CASE WHEN p_size % 3 = 0 THEN ['b', 'a', 'c'] ELSE [] END) AS q FROM items WHERE p_size % 2 = 0 OR p_size % 3 = 0 OR p_size % 5 = 0) SELECT item_id, array_to_string(CASE WHEN len(q) = 0 THEN ['f', 'g'] ELSE list_slice({firsts('q')}, 1, 3) END, '|') AS questions FROM q"),
+    "c11_explanation": (explained, f"WITH {PRED} SELECT item_id, code, 'Code ' || code || ' (score ' || printf('%.3f', score + 0.0000037) || ')' || chr(10) || 'Support ' || rank || ', conflict ' || (3 - rank) || chr(10) || '- rule:' || code || chr(10) || '- ' || left(repeat(code, 60), 200) || '...' AS explanation FROM pred WHERE rank <= 3"),
     "t6_contains": (lambda s, d: items(s, d).select("item_id", t.contains(F.col("text"), F.lit("Gear (x)")).alias("hit")), f"WITH {PREP} SELECT item_id, contains(norm, 'gear') AS hit FROM prep"),
     "t7_overlap": (lambda s, d: items(s, d).select("item_id", F.size(t.overlap(F.col("text"), F.array(F.lit("small gear"), F.lit("Ring")))).alias("n")), f"WITH {PREP} SELECT item_id, CAST(len(list_intersect(list_distinct(tokens), ['small', 'gear', 'ring'])) AS INT) AS n FROM prep"),
     "t8_match_method": (lambda s, d: items(s, d).select("item_id", t.match_method(F.col("text"), F.lit("red gear")).alias("method")), f"WITH {PREP} SELECT item_id, CASE WHEN contains(norm, 'red gear') THEN 'substring' WHEN list_has_any(tokens, ['red', 'gear']) THEN 'token' END AS method FROM prep"),
