@@ -16,9 +16,10 @@ def stratified_split(items: DataFrame, ratios: tuple[float, float] = (0.8, 0.1),
     """train / val / test inside each class: max(1, floor(n x ratio)) rows of train and val, the rest is test.
 
     Classes with fewer than ``least`` rows are dropped, or go to train whole.
+    A row's place in its class comes from the counts of the class's hash cells
+    before its own and its place in the cell, so no task sorts a whole class.
     """
-    w = W.partitionBy(stratum)
-    rows = items.withColumn("_r", F.row_number().over(w.orderBy(shuffled(F.col(key), seed), key))).withColumn("_n", F.count(F.lit(1)).over(w))
+    rows = placed(items, stratum, shuffled(F.col(key), seed), key)
     upto = F.greatest(F.lit(1), F.floor(F.col("_n") * ratios[0]))
     val = upto + F.greatest(F.lit(1), F.floor(F.col("_n") * ratios[1]))
     split = F.when(F.col("_n") < least, "train").when(F.col("_r") <= upto, "train").when(F.col("_r") <= val, "val").otherwise("test")
@@ -26,6 +27,22 @@ def stratified_split(items: DataFrame, ratios: tuple[float, float] = (0.8, 0.1),
     return (rows.filter(F.col("_n") >= least) if drop_rare else rows).drop("_r", "_n")
 
 
+def placed(rows: DataFrame, group: str, digest: Column, key: str) -> DataFrame:
+    """Adds _r, the place of each row in its group by digest and key (from 1), and _n, the group's rows.
+
+    Rows are counted in the 4096 cells of the first three hex digits; only a
+    cell is sorted. Null groups are a group.
+    """
+    rows = rows.withColumn("_h", digest).withColumn("_c", F.substring("_h", 1, 3))
+    cells = rows.groupBy(group, "_c").agg(F.count(F.lit(1)).alias("_k"))
+    whole = W.partitionBy(group)
+    before = F.coalesce(F.sum("_k").over(whole.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col(group).alias("_g"), F.col("_c").alias("_d"), before.alias("_b"), F.sum("_k").over(whole).alias("_n"))
+    inside = F.row_number().over(W.partitionBy(group, "_c").orderBy("_h", key))
+    rows = rows.withColumn("_i", inside).join(cells, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_c") == F.col("_d")))
+    return rows.withColumn("_r", F.col("_b") + F.col("_i")).drop("_h", "_c", "_g", "_d", "_b", "_i")
+
+
 def plain_split(items: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42, key: str = "item_id") -> DataFrame:
     """train / val / test by the share of the hash range that a row falls in: no shuffle at all."""
     at = F.conv(F.substring(shuffled(F.col(key), seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
