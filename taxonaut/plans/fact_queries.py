@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import axes, extract, facts, match
+from ..operators import axes, extract, facts, match, retrieval
 from .axis_queries import ATTR, AXES, COMM, LEXICON, attribute_rows, commentary, docs, item_axes, joined, signals_sql
 from .fixtures import ITEMS, PRED, items, predictions, table
 from .match_queries import FEATURES, all_features, cards, name_terms, term_codes, tokens_of
-from .text_queries import GATE, gated
+from .text_queries import BM25, GATE, gated, short_bm25
 
 #: The fixed keywords and those of the made-up axes, which part names have.
 WORDS = facts.LEXICON + [(a, k) for a, _, k in LEXICON]
@@ -105,6 +105,19 @@ def smoke(s, d):
     return facts.smoke_statistics(ranked, table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.when(F.col("label") > 0, F.col("label") > 4).alias("any_signal")))
 
 
+def trace(s, d):
+    top = short_bm25(s, d)
+    rows = retrieval.traced({"lexical": top, "fused": retrieval.fuse([top.filter("rank <= 10"), top.filter("doc % 2 = 0")])})
+    return rows.withColumns({c: joined(c) for c in ("lexical", "fused")})
+
+
+def case_table(s, d):
+    """Vectors as cases: every fourth label has a blank name, every third a code of two characters."""
+    label = F.col("label")
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.when(label % 4 == 0, " ").otherwise(F.concat(F.lit("case "), label)).alias("name"), F.when(label % 3 == 0, "01").otherwise("0101").alias("code"), F.col("embedding").alias("vector"))
+    return retrieval.case_vectors(rows).select("case_id", "name", "code", F.size("vector").alias("n"))
+
+
 VECTOR_SQL = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS v{i}" for i, c in enumerate(NAMES))
 
 QUERIES = {
@@ -118,5 +131,7 @@ QUERIES = {
     "x34_overlaid_axes": (other_axes, f"WITH {AXES}, gv AS (SELECT item_id, p_type FROM items WHERE p_size <= 20 AND p_size % 4 <> 0) SELECT item_id, 'material' AS axis, lower(p_type) AS vals, CAST(0.9 AS DOUBLE) AS confidence, TRUE AS supplied FROM gv UNION ALL SELECT item_id, axis, array_to_string(vals, '|'), confidence, FALSE FROM ia WHERE item_id NOT IN (SELECT item_id FROM gv)"),
     "r7_ranking_rows": (training_rows, f"WITH {GATE}, rr AS (SELECT kb.item_id, kb.code, CAST(kb.code = items.code AS INT) AS label FROM kb JOIN items ON items.item_id = kb.item_id LEFT JOIN gs ON gs.item_id = kb.item_id AND gs.code = kb.code WHERE coalesce(passed, TRUE)) SELECT * FROM rr WHERE item_id IN (SELECT item_id FROM rr WHERE label = 1)"),
     "a46_smoke": (smoke, f"WITH {PRED}, p AS (SELECT item_id, max(CASE WHEN rank = 1 THEN score END) AS p1, max(CASE WHEN rank = 2 THEN score END) AS p2 FROM pred WHERE item_id % 7 <> 0 GROUP BY item_id) SELECT count(*) AS n, count(p1) AS with_candidates, CAST(sum(CAST(label > 4 AS INT)) AS BIGINT) AS with_signal, CAST(sum(CAST(p1 IS NULL OR p1 < 0.5 OR p1 - p2 < 0.15 AS INT)) AS BIGINT) AS low_confidence FROM embeddings LEFT JOIN p ON p.item_id = vec_id"),
+    "r6_case_vectors": (case_table, "SELECT vec_id AS case_id, 'case ' || CAST(label AS VARCHAR) AS name, '0101' AS code, CAST(len(embedding) AS INT) AS n FROM embeddings WHERE label % 4 <> 0 AND label % 3 <> 0"),
+    "r9_traced": (trace, f"WITH {BM25}, b AS (SELECT * FROM bm WHERE rank <= 30), l AS (SELECT query_id, doc, rank FROM b WHERE rank <= 10 UNION ALL SELECT query_id, doc, rank FROM b WHERE doc % 2 = 0), f AS (SELECT query_id, doc, round(sum(1 / (60 + rank)), 6) AS score FROM l GROUP BY query_id, doc), fr AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM f), x AS (SELECT query_id, 'b' AS w, rank, doc FROM b WHERE rank <= 5 UNION ALL SELECT query_id, 'f', rank, doc FROM fr WHERE rank <= 5) SELECT query_id, coalesce(string_agg(CAST(doc AS VARCHAR), '|' ORDER BY rank) FILTER (w = 'b'), '') AS lexical, coalesce(string_agg(CAST(doc AS VARCHAR), '|' ORDER BY rank) FILTER (w = 'f'), '') AS fused FROM x GROUP BY query_id"),
     "g36_signal_context": (sections, sections_sql()),
 }

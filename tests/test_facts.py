@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxonaut.operators import facts
+from taxonaut.operators import facts, retrieval
 
 
 def test_card_facts_take_the_first_source(spark):
@@ -45,3 +45,15 @@ def test_supplied_axes_replace_found_ones(spark):
     given = spark.createDataFrame([(1, "material", [], 0.9), (2, "material", ["z"], 0.9)], schema)
     got = facts.overlaid_axes(found, given).select("item_id", "axis", F.element_at("values", 1), "supplied").collect()
     assert sorted(map(tuple, got)) == [(1, "material", "x", False), (2, "material", "z", True)]
+
+
+def test_trace_has_a_row_for_each_query_of_any_list(spark):
+    one = spark.createDataFrame([(1, 7, 2), (1, 8, 1), (1, 9, 6)], "query_id int, doc int, rank int")
+    other = spark.createDataFrame([(2, 5, 1)], "query_id int, doc int, rank int")
+    got = {r.query_id: (r.a, r.b) for r in retrieval.traced({"a": one, "b": other}).collect()}
+    assert got == {1: ([8, 7], []), 2: ([], [5])}
+
+
+def test_case_vectors_need_name_code_and_vector(spark):
+    rows = spark.createDataFrame([(1, "x", "0101", [1.0]), (2, " ", "0101", [1.0]), (3, "x", "01", [1.0]), (4, "x", "0101", None), (5, None, "0101", [1.0])], "case_id int, name string, code string, vector array<double>")
+    assert [r.case_id for r in retrieval.case_vectors(rows).collect()] == [1]
