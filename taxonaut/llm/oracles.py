@@ -49,4 +49,47 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
 FROM e
 """
 
-ORACLES = {"op3_url_filter": OP3, "op5_topk": OP5, "op7_mix": OP7}
+OP11 = r"""
+WITH split AS (
+  SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT 'i', coalesce(CAST(item_id AS VARCHAR), 'null'), row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split),
+wins AS (SELECT DISTINCT id AS item, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT id, w, least(len(w), 10) AS n FROM w WHERE side = 'i' AND len(w) > 0))),
+lengths AS (SELECT DISTINCT n FROM wins),
+own AS (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM w, lengths WHERE side = 'd' AND len(w) >= n)),
+hits AS (SELECT own.r, own.s, own.n, item FROM own JOIN wins ON own.win = wins.win AND own.n = wins.n),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM hits)) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT CAST(w.id AS BIGINT) AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words ON words.r = w.r LEFT JOIN found ON found.r = w.r WHERE side = 'd'
+"""
+
+
+def _op13(rounds: int = 2) -> str:
+    """One pair of tables for each round: the parts' entries, then the new codebooks."""
+    dist = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    met = lambda n: f"a{n} AS MATERIALIZED (SELECT r, part, min({dist} * 64 + entry) AS near FROM p JOIN c{n} USING (part) GROUP BY r, part)"
+    out = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 64),
+"""
+    for n in range(rounds):
+        out += f"""{met(n)},
+m{n} AS (SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT part, near % 64 AS entry, i, CAST(sum(x[i]) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM (SELECT p.part, near, x, unnest(range(1, len(x) + 1)) AS i FROM p JOIN a{n} ON p.r = a{n}.r AND p.part = a{n}.part) GROUP BY ALL) GROUP BY part, entry),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.part, c{n}.entry, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} ON c{n}.part = m{n}.part AND c{n}.entry = m{n}.entry),
+"""
+    return out + f"""{met(rounds)},
+e AS (SELECT r, string_agg(printf('%02x', near % 64), '' ORDER BY part) AS code, CAST(sum(near // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e ON v.r = e.r, s
+"""
+
+
+OP13 = _op13()
+
+ORACLES = {"op3_url_filter": OP3, "op5_topk": OP5, "op7_mix": OP7, "op11_decontaminate": OP11, "op13_codes": OP13}

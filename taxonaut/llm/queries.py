@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, url_filters, vector_search
+from . import decontamination, jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, token_alignment, url_filters, vector_codes, vector_search
 from .oracles import ORACLES
 
 URL_RULES = [
@@ -76,10 +76,24 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out_row(4).alias("held_out"), "score", "predicted")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("items", "spans")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_interleave, op2_ppm, op3_url_filter, op4_pack, op5_topk,
         op6_jaccard, op7_mix, op8_quality_rules, op9_secrets, op10_classifier,
+        op11_decontaminate, op12_align, op13_codes,
     )
     return {f.__name__: f for f in every}
 
