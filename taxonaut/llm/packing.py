@@ -59,8 +59,11 @@ def pack(docs: DataFrame, size: Column | None = None, capacities: tuple[int, ...
     ``size`` is the number of tokens of a row (default: its words and one end
     mark; null counts as none). A document longer than the largest capacity
     is cut into pieces of that length and a rest, so no token is lost. Pieces
-    are dealt by hash into groups of about ``group_tokens`` tokens, and each
-    group is packed by best fit in falling order, ties by id and piece.
+    are dealt by a hash of id, size and piece into groups of about
+    ``group_tokens`` tokens, and each group is packed by best fit in falling
+    order, ties by id and piece. Rows of equal id and size are counted first
+    and dealt over all groups in turn, so neither a null id nor a repeated one
+    makes a large group; null ids are ids like others.
 
     A bin id holds the group and the bin's number in it; ``offset`` is where a
     piece starts in its bin. A document of no tokens has one piece of length 0
@@ -73,12 +76,17 @@ def pack(docs: DataFrame, size: Column | None = None, capacities: tuple[int, ...
     rows = docs.select(F.col(doc_id).alias("doc_id"), size.cast("long").alias("n_tokens"))
     total = rows.agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     groups = max(1, -(-(total.n or 0) // group_tokens), -(-total.rows // (group_tokens // 16)))
+    rows = rows.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))  # rows alike in these are alike in the result
     last = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / most)
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.withColumn("start", F.col("piece") * most).withColumn("length", F.least(F.col("n_tokens") - F.col("start"), F.lit(most)))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
+    dealt = F.least("copies", F.lit(groups).cast("long"))
+    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), dealt - 1)))
+    each = F.floor(F.col("copies") / dealt) + (F.col("share") < F.col("copies") % dealt).cast("long")
+    rows = rows.withColumn("group", F.pmod(F.pmod(F.xxhash64("doc_id", "n_tokens", "piece"), F.lit(groups)) + F.col("share"), F.lit(groups)).cast("long")).withColumn("copies", each)
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.loc[part.index.repeat(part.copies)]
         part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         at, capacity = best_fit(part.length.tolist(), capacities, overhead)
         part["bin_id"] = part["group"] * (1 << 32) + np.array(at, dtype=np.int64)

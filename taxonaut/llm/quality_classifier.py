@@ -79,7 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
     vectors: a bounded sample of labelled rows. Term weights are inverse
     document frequencies over all documents. Labels other than 0 and 1, null
     ids and ids without a document are ignored; of a repeated id the larger
-    label counts.
+    label and the least text count, one row an id. If the sample's texts are
+    all blank there are no vectors, and the share of label 1 is the score.
     """
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,16 +108,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
             yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "v": [features(t).astype(np.float32).tobytes() for t in batch.text]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    vectors = docs.join(F.broadcast(sample), "doc_id").mapInPandas(vectorise, f"doc_id {kind}, quality int, v binary")  # 2 * per_label rows at most
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of the texts of one id the least counts: 2 * per_label rows at most
+    vectors = texts.mapInPandas(vectorise, f"doc_id {kind}, quality int, v binary")
+
     def decompose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "v"]).drop_duplicates("doc_id")  # of the texts of one id the least counts
+        rows = rows.sort_values("doc_id")
         x = np.empty((len(rows), WIDTH), dtype=np.float32)
         for i, v in enumerate(rows.v):
             x[i] = np.frombuffer(v, dtype=np.float32)
         x = weighted(x, weight)
         values, left = np.linalg.eigh(x @ x.T)
         top = np.argsort(values)[::-1][:dims]
-        top = top[values[top] > 1e-6 * max(values.max(), 1e-9)]
+        top = top[values[top] > max(1e-6 * values.max(), 1e-9)]
+        if not len(top):  # blank texts span nothing: no neighbours, so the prior counts
+            return pd.DataFrame([("none", None, b"")], columns=["kind", "quality", "data"])
         axes = (x.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
         vectors = unit(x @ axes).astype(np.float32)
         out = [("axis", None, axes[:, i].tobytes()) for i in range(axes.shape[1])]
@@ -127,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
     made = vectors.groupBy(F.lit(0).alias("all")).applyInPandas(decompose, "kind string, quality double, data binary").collect()
     prior = 1.0 if share is None else float(share)
     of = lambda kind: [np.frombuffer(r.data, dtype=np.float32) for r in made if r.kind == kind]
-    if not made:
+    if not any(r.kind == "axis" for r in made):
         return Model(weight, np.zeros((WIDTH, 1), np.float32), np.empty((0, 1)), np.empty(0), prior, neighbours)
     quality = np.array([r.quality for r in made if r.kind == "vector"])
     return Model(weight, np.array(of("axis")).T.copy(), np.array(of("vector")), quality, prior, neighbours)

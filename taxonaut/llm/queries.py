@@ -73,7 +73,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_classifier.fit(docs, labels, ~held_out_row(4))
     out = quality_classifier.classify(docs, model)
-    return out.select("doc_id", held_out_row(4).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(held_out_row(4), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

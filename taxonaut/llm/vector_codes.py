@@ -151,7 +151,7 @@ def compress(vectors: DataFrame, entries: int = 64, rounds: int = 2, scale: int
     dropped. Vectors whose length isn't that of the smallest id's vector, or
     no multiple of 16, can't be cut alike: their code and error are null. Of
     rows that share one of the smallest ids the least vector starts an entry;
-    null ids start none unless there are no others. Repeated rows count each.
+    null ids start none, and without any id codes are null. Repeated rows count each.
     Fewer rows than ``entries`` make smaller codebooks; no rows give none.
     Components are held at +-2^28 / sqrt(part length), a million times the
     usual, so that no distance overflows. ``label_error`` sums errors of equal
@@ -161,7 +161,8 @@ def compress(vectors: DataFrame, entries: int = 64, rounds: int = 2, scale: int
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     rows = rows.filter(F.col("v").isNotNull() & ~F.exists("v", bad))
     id_kind, label_kind = (rows.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
-    starts = rows.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.col("vec_id").asc_nulls_last()).limit(entries).collect()
+    first = [r.vec_id for r in rows.select("vec_id").filter("vec_id is not null").distinct().orderBy("vec_id").limit(entries).collect()]
+    starts = rows.filter(F.col("vec_id").isin(first)).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").collect()  # a row for each of the first ids
     size = len(starts[0].v) if starts else 0
     width = size // PARTS
     fits = F.size("v") == size if size % PARTS == 0 else F.lit(False)

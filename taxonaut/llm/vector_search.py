@@ -75,43 +75,50 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, query_block: int = 1
     """The k highest inner products of every query row with all other rows: query_id, rank, vec_id, score.
 
     ``queries`` says which rows are queries. Vectors hold integers, or null for
-    rows that take no part; they may differ in length. Rows that share the
-    query's id are its own and no candidates. Ties go to the smaller id;
-    repeated rows count each. Rows with a null id take no part. No queries or
-    no candidates give no rows. Other columns are ignored.
-
-    Queries and candidates are cut into blocks by a hash of the id and each
-    pair of blocks is one group: memory per group is bounded by the two block
-    sizes, and each cell passes on ``k`` rows a query to the merge.
+    rows that take no part; they may differ in length. Each query row has a
+    list of its own, also where rows share an id: then ``query_id`` has
+    several lists. All rows but the query's own are candidates, those of its id
+    included; repeated rows count each. Ties go to the smaller id. Rows with a
+    null id take no part. No queries or no candidates give no rows. Other
+    columns are ignored.
+
+    Queries and candidates are cut into blocks by a hash of id and vector and
+    each pair of blocks is one group: memory per group is bounded by the two
+    block sizes unless rows are full copies, and each cell passes on ``k``
+    rows a query to the merge. Copies of a query row are scored once.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), queries.alias("q")).filter("vec_id is not null and v is not null")
+    rows = rows.withColumn("key", F.xxhash64("vec_id", "v"))
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
     nq, nr = buckets_for(counts.q, query_block), buckets_for(counts.n, row_block)
-    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    left = rows.filter("q").select("vec_id", "v", block(nq, 1).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("b"))
-    right = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), block(nr, 2).alias("b"))
+    block = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(n)).cast("int")
+    left = rows.filter("q").select("vec_id", "key", "v", block(nq, 1).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("b"))
+    right = rows.select("vec_id", "key", "v", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), block(nr, 2).alias("b"))
 
     def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("vec_id", kind="stable")
-        ids, own = held.vec_id.to_numpy(), asked.vec_id.to_numpy()
+        held = held.sort_values(["vec_id", "key"], kind="stable")
+        asked = asked.assign(copies=asked.groupby("key").key.transform("size")).drop_duplicates("key")
+        ids, keys = held.vec_id.to_numpy(), held.key.to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
-        if len(ids) and len(own):
+        if len(ids) and len(asked):
             got = scores([np.asarray(v) for v in asked.v], [np.asarray(v) for v in held.v])
-            for i, row in zip(own, got):
+            for i, key, n, row in zip(asked.vec_id, asked.key, asked.copies, got):
                 a, b = np.searchsorted(ids, i, "left"), np.searchsorted(ids, i, "right")
-                others, row = (np.delete(ids, np.s_[a:b]), np.delete(row, np.s_[a:b])) if b > a else (ids, row)
+                own = a + np.flatnonzero(keys[a:b] == key)[:1]
+                others, row = (np.delete(ids, own), np.delete(row, own)) if len(own) else (ids, row)
                 pick = best(row, others, k)
-                out.append((np.full(len(pick), i), others[pick], row[pick].astype(np.int64)))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
+                out.append((np.full(len(pick), i), np.full(len(pick), key), np.full(len(pick), n), others[pick], row[pick].astype(np.int64)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+        return pd.DataFrame(dict(zip(("query_id", "key", "copies", "vec_id", "score"), cols)))
 
     kind = dict(vectors.dtypes)[vec_id]
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, f"query_id {kind}, vec_id {kind}, score long")
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, f"query_id {kind}, key long, copies long, vec_id {kind}, score long")
     return merged(found, k)
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
-    """The first k of each query over all blocks."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The first k of each query row over all blocks, as often as the row is there."""
+    order = W.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("query_id", "rank", "vec_id", "score")
