@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,6 +28,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: id pairs are one int: A * RIGHT + B.
 RIGHT = 32_768
 
+#: No id of A or B; parts them in a window's key.
+MARK = 0xFFFF
+
 
 def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level entry stands for: printable ones for themselves, the rest from 256 on, in order."""
@@ -50,13 +54,18 @@ class Left:
         self.bytes = [b""] * (max(found["model"]["vocab"].values()) + 1)
         for t, i in ranks.items():
             self.bytes[i] = t
+        self.size = np.array([len(t) for t in self.bytes])
         self.fast = tiktoken.Encoding("left", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> list[int]:
         """Ids of a text. The fast library's merges are the same; it is used where its classes of characters are, too."""
         if PLAIN.search(text) is None:
-            return np.asarray(self.fast.encode_ordinary(text), dtype=np.uint16)
-        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
+            return self.fast.encode_ordinary(text)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+    def spells(self, ids: list[int], raw: bytes) -> bool:
+        """Byte-level tokens hold what the pattern found, and the pattern leaves nothing out; so the number of bytes tells."""
+        return int(self.size[np.array(ids, np.uint16)].sum()) == len(raw)
 
 
 class Right:
@@ -69,39 +78,59 @@ class Right:
         piece = self.model.id_to_piece
         self.bytes = [bytes([int(piece(i)[3:5], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.model.encode(text, num_threads=1), dtype=np.uint16)
-
-
-def align(left: list[int], right: list[int], size_left: list[int], size_right: list[int]) -> tuple[str, list[tuple[list[int], list[int]]]]:
-    """Groups between the byte ends that both sides share, as text and as ids; both sides cover the same bytes."""
-    text: list[str] = []
-    groups: list[tuple[list[int], list[int]]] = []
-    i = j = i0 = j0 = at_left = at_right = 0
-    while i < len(left):
-        at_left += size_left[left[i]]
-        i += 1
-        while at_right < at_left:
-            at_right += size_right[right[j]]
-            j += 1
-        if at_right == at_left:
-            x, y = left[i0:i], right[j0:j]
-            text.append(f"{x[0]}|{y[0]}" if i - i0 == j - j0 == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            groups.append((x, y))
-            i0, j0 = i, j
-    return ";".join(text), groups
-
-
-def links_of(groups: list[tuple[list[int], list[int]]], most: int = 4096) -> tuple[np.ndarray, np.ndarray | None]:
-    """Linked id pairs of groups, repeated as they occur; if there are over ``most``, distinct ones of each group and how often each occurs."""
-    if sum([len(x) * len(y) for x, y in groups]) <= most:
-        return np.array([p * RIGHT + q for x, y in groups for p in x for q in y], dtype=np.int32), None
-    ids, times = [], []
-    for x, y in groups:
-        (u, nu), (v, nv) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-        ids.append((u[:, None] * RIGHT + v).ravel())
-        times.append(np.outer(nu, nv).ravel())
-    return np.concatenate(ids).astype(np.int32), np.concatenate(times).astype(np.int64)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
+
+    def spells(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == raw
+
+
+class Windows:
+    """Alignments of windows that lie one after another; both sides of a window cover the same bytes.
+
+    ``at_left`` and ``at_right`` say where the windows' ids begin, and end with
+    the numbers of ids.
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, size_left: np.ndarray, size_right: np.ndarray, at_left: np.ndarray, at_right: np.ndarray, names: list[str], most: int = 4096):
+        left, right = left.astype(np.int64), right.astype(np.int64)
+        ends_left, ends_right = np.cumsum(size_left[left]), np.cumsum(size_right[right])
+        closes_left, closes_right = (ends_in(x, y) for x, y in ((ends_left, ends_right), (ends_right, ends_left)))
+        last_left, last_right = np.flatnonzero(closes_left), np.flatnonzero(closes_right)  # ids that end a group
+        n, m = np.diff(last_left, prepend=-1), np.diff(last_right, prepend=-1)
+        first_left, first_right = last_left - n + 1, last_right - m + 1
+        groups = np.arange(len(n))
+        # a group's ids of A, then those of B, each with what follows it
+        order = np.empty(len(left) + len(right), np.int64)
+        order[np.arange(len(left)) + np.repeat(first_right, n)] = 2 * left + closes_left
+        order[np.arange(len(right)) + np.repeat(last_left + 1, m)] = 2 * (right + len(size_left)) + closes_right
+        parts = list(map(names.__getitem__, order.tolist()))
+        cut = (at_left + at_right).tolist()
+        self.texts = ["".join(parts[x:y])[:-1] for x, y in zip(cut, cut[1:])]
+        upto = np.searchsorted(last_left, at_left)  # groups before each window
+        self.groups = np.diff(upto).tolist()
+        links = n * m
+        heavy = np.flatnonzero(links > most)  # groups that aren't multiplied out
+        links[heavy] = 0
+        of, k = np.repeat(groups, links), np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+        pairs = left[first_left[of] + k // m[of]] * RIGHT + right[first_right[of] + k % m[of]]
+        raw, ends = pairs.astype(np.int32).tobytes(), np.concatenate([[0], np.cumsum(links)])[upto].tolist()
+        self.pairs = [raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:])]
+        self.weighted = [weighted(left[first_left[g] : last_left[g] + 1], right[first_right[g] : last_right[g] + 1]) for g in heavy]
+        self.heavy_in = np.searchsorted(upto, heavy, side="right") - 1  # their windows
+
+
+def ends_in(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the ends are among the others."""
+    marks = np.zeros(int(ends[-1]) + 1, bool)
+    marks[others] = True
+    return marks[ends]
+
+
+def weighted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct id pairs of one group and how often each is linked."""
+    (u, n), (v, m) = np.unique(left, return_counts=True), np.unique(right, return_counts=True)
+    return (u[:, None] * RIGHT + v).ravel().astype(np.int32), np.outer(n, m).ravel().astype(np.int64)
 
 
 #: Aligners of this worker process by their vocabularies, so that tasks find what earlier ones have loaded and aligned.
@@ -121,10 +150,10 @@ class Aligner:
 
     def __init__(self, left: Left, right: Right, memo: int = 300_000, longest: int = 64):
         self.left, self.right = left, right
-        self.sizes = [[len(t) for t in x.bytes] for x in (left, right)]
-        self.size = [np.array(x, dtype=np.int64) for x in self.sizes]
+        self.size = [np.array([len(t) for t in x.bytes], dtype=np.int64) for x in (left, right)]
+        self.names = [f"{i}{c}" for x, end in ((left, "|"), (right, ";")) for i in range(len(x.bytes)) for c in (",", end)]
         self.marked = [np.array([t[:1] == b" " for t in x.bytes]) for x in (left, right)]
-        self.memo: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
+        self.memo: dict[bytes, tuple[str, int, bytes]] = {}
         self.most, self.longest = memo, longest
 
     def one(self, text: str | None):
@@ -133,10 +162,10 @@ class Aligner:
         if not text:
             return none
         whole = " " + text
-        a, b, raw = self.left.encode(whole), self.right.encode(text), whole.encode()
-        list_a, list_b = a.tolist(), b.tolist()
-        if b"".join(map(self.left.bytes.__getitem__, list_a)) != raw or b"".join(map(self.right.bytes.__getitem__, list_b)) != raw:
+        list_a, list_b, raw = self.left.encode(whole), self.right.encode(text), whole.encode()
+        if not (self.left.spells(list_a, raw) and self.right.spells(list_b, raw)):
             return none
+        a, b = np.array(list_a, np.uint16), np.array(list_b, np.uint16)
         ends_a, ends_b = np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b])
         # anchors: bytes at which both sides start a token that is marked with a space
         at = np.full(len(raw), -1, dtype=np.int32)
@@ -144,35 +173,53 @@ class Aligner:
         at[ends_a[i] - self.size[0][a[i]]] = i
         j = np.flatnonzero(self.marked[1][b])
         i = at[ends_b[j] - self.size[1][b[j]]]
-        i, j = i[i >= 0].tolist(), j[i >= 0].tolist()
-        if not i or i[0] or j[0]:
-            i, j = [0, *i], [0, *j]
-        i, j = [*i, len(a)], [*j, len(b)]
-        cut = lambda raw, at: [raw[2 * x : 2 * y] for x, y in zip(at, at[1:])]
-        keys = list(zip(cut(a.tobytes(), i), cut(b.tobytes(), j)))
+        i, j = i[i >= 0], j[i >= 0]
+        skip = int(len(i) > 0 and i[0] == j[0] == 0)  # the first window starts at 0 in any case
+        i, j = (np.concatenate([[0], x[skip:], [n]]) for x, n in ((i, len(a)), (j, len(b))))
+        # one key a window: its ids of A, a mark, its ids of B
+        n, m, w = np.diff(i), np.diff(j), np.arange(len(i) - 1)
+        both = np.full(len(a) + len(b) + len(w), MARK, np.uint16)
+        both[np.arange(len(a)) + np.repeat(j[:-1] + w, n)] = a
+        both[np.arange(len(b)) + np.repeat(i[1:] + w + 1, m)] = b
+        raw, cut = both.tobytes(), (2 * (i + j + np.arange(len(i)))).tolist()
+        keys = [raw[x:y] for x, y in zip(cut, cut[1:])]
         if len(self.memo) > self.most:
             self.memo.clear()
-        memo, weighted = self.memo, []
-        found = list(map(memo.get, keys))
-        for k in [k for k, x in enumerate(found) if x is None]:
-            if (known := memo.get(keys[k])) is None:
-                aligned, groups = align(list_a[i[k] : i[k + 1]], list_b[j[k] : j[k + 1]], *self.sizes)
-                ids, times = links_of(groups)
-                known = (aligned, len(groups), ids.tobytes() if times is None else b"")
-                if times is not None:
-                    weighted.append((ids, times))
-                elif len(keys[k][0]) + len(keys[k][1]) <= 2 * self.longest:
-                    memo[keys[k]] = known
-            found[k] = known
+        found, heavy = list(map(self.memo.get, keys)), []
+        if None in found:
+            new = list({key: None for key, x in zip(keys, found) if x is None})  # each window once
+            made, long = self.windows(new)
+            found = [made[key] if x is None else x for key, x in zip(keys, found)]
+            if long:  # windows with long groups, as often as they occur
+                counts = Counter(key for key in keys if key in long)
+                heavy = [(p, t * counts[key]) for key, (p, t) in long.items()]
         texts, numbers, pairs = zip(*found)
         groups = sum(numbers)
         ids, times = np.unique(np.frombuffer(b"".join(pairs), dtype=np.int32), return_counts=True)
-        if weighted:
-            ids, times = np.concatenate([ids, *(p for p, _ in weighted)]), np.concatenate([times, *(t for _, t in weighted)])
+        if heavy:
+            ids, times = np.concatenate([ids, *(p for p, _ in heavy)]), np.concatenate([times, *(t for _, t in heavy)])
             ids, of = np.unique(ids, return_inverse=True)
             times = np.bincount(of, times).astype(np.int64)
         return len(a), len(b), groups, int(times.sum()), hashlib.sha256(";".join(texts).encode()).hexdigest(), ids, times
 
+    def windows(self, keys: list[bytes]) -> tuple[dict, dict]:
+        """Alignments of different windows (text, groups, pairs) by their ids, kept for later texts; and distinct pairs of those with long groups."""
+        both = np.frombuffer(b"".join(keys), np.uint16)
+        ends = np.cumsum([len(k) // 2 for k in keys])
+        marks = np.flatnonzero(both == MARK)
+        left = np.arange(len(both)) < np.repeat(marks, np.diff(ends, prepend=0))
+        right = ~left
+        right[marks] = False
+        n, m = (np.concatenate([[0], np.cumsum(x)[ends - 1]]) for x in (left, right))
+        w = Windows(both[left], both[right], *self.size, n, m, self.names)
+        made = dict(zip(keys, zip(w.texts, w.groups, w.pairs)))
+        heavy: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for k, (p, t) in zip(w.heavy_in.tolist(), w.weighted):
+            old = heavy.get(keys[k])
+            heavy[keys[k]] = (p, t) if old is None else (np.concatenate([old[0], p]), np.concatenate([old[1], t]))
+        self.memo.update((k, x) for k, x in made.items() if len(k) <= 2 * self.longest and k not in heavy)
+        return made, heavy
+
 
 def linked(docs: DataFrame, left: str, right: bytes, doc_id: str = "doc_id", text: str = "text", rows: int = 500) -> DataFrame:
     """Each document with its alignment and its distinct linked id pairs (``pairs`` ascending, ``times`` each)."""

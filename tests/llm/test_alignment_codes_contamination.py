@@ -160,8 +160,8 @@ def test_alignment_of_no_rows(spark, vocabularies):
 
 def test_long_groups_keep_distinct_pairs():
     rng = np.random.default_rng(2)
-    x, y = rng.integers(0, 9, 300).tolist(), rng.integers(0, 9, 200).tolist()
-    ids, times = token_alignment.links_of([(x, y)])
+    x, y = rng.integers(0, 9, 300), rng.integers(0, 9, 200)
+    ids, times = token_alignment.weighted(x, y)
     want = collections.Counter(p * token_alignment.RIGHT + q for p in x for q in y)
     assert dict(zip(ids.tolist(), times.tolist())) == want
 
