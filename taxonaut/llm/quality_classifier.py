@@ -54,7 +54,7 @@ class Model:
         near = x @ self.vectors.T
         k = min(self.neighbours, near.shape[1])
         edge = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
-        votes = np.where(near >= edge[:, None], np.maximum(near, 0), 0)  # ties at the edge all vote
+        votes = np.where(near >= edge[:, None], np.maximum(near, 0), 0).astype(np.float64)  # ties at the edge all vote
         total = votes.sum(axis=1)
         out = np.where(total > 1e-6, votes @ self.labels / np.maximum(total, 1e-6), self.prior)
         return np.clip(out, 0.0, 1.0)
@@ -153,7 +153,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7, block: int =
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             scores = [shared.value.score(np.array([features(t) for t in batch.text.iloc[i : i + block]])) for i in range(0, len(batch), block)]
-            got = np.round(np.concatenate(scores), 9) if scores else np.empty(0)
+            got = np.round(np.concatenate(scores), 6) if scores else np.empty(0)
             got[[not isinstance(t, str) or not t.strip() for t in batch.text]] = 0.0
             yield pd.DataFrame({"doc_id": batch.doc_id, "score": got, "predicted": (got >= threshold).astype(np.int32)})
 
