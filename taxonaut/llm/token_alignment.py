@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -54,18 +55,13 @@ class Left:
         self.bytes = [b""] * (max(found["model"]["vocab"].values()) + 1)
         for t, i in ranks.items():
             self.bytes[i] = t
-        self.size = np.array([len(t) for t in self.bytes])
         self.fast = tiktoken.Encoding("left", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text. The fast library's merges are the same; it is used where its classes of characters are, too."""
         if PLAIN.search(text) is None:
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
-
-    def spells(self, ids: list[int], raw: bytes) -> bool:
-        """Byte-level tokens hold what the pattern found, and the pattern leaves nothing out; so the number of bytes tells."""
-        return int(self.size[np.array(ids, np.uint16)].sum()) == len(raw)
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint16)
 
 
 class Right:
@@ -78,11 +74,22 @@ class Right:
         piece = self.model.id_to_piece
         self.bytes = [bytes([int(piece(i)[3:5], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(array("H", self.model.encode(text, num_threads=1)), np.uint16)
+
+
+class Spelling:
+    """The bytes of ids, by a table of all entries' bytes."""
 
-    def spells(self, ids: list[int], raw: bytes) -> bool:
-        return b"".join(map(self.bytes.__getitem__, ids)) == raw
+    def __init__(self, entries: list[bytes]):
+        self.size = np.array([len(t) for t in entries], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.flat = np.frombuffer(b"".join(entries), np.uint8)
+
+    def of(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """``ends``: running sums of the ids' sizes."""
+        n = self.size[ids]
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends + n, n)].tobytes()
 
 
 class Windows:
@@ -133,6 +140,9 @@ def weighted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (u[:, None] * RIGHT + v).ravel().astype(np.int32), np.outer(n, m).ravel().astype(np.int64)
 
 
+#: A text without tokens.
+NOTHING = (0, 0, 0, 0, "", np.empty(0, np.int32), np.empty(0, np.int64))
+
 #: Aligners of this worker process by their vocabularies, so that tasks find what earlier ones have loaded and aligned.
 _aligners: dict[int, Aligner] = {}
 
@@ -148,25 +158,24 @@ def aligner(left: str, right: bytes) -> Aligner:
 class Aligner:
     """Aligns texts; windows between anchors are aligned once for each pair of id tuples."""
 
-    def __init__(self, left: Left, right: Right, memo: int = 300_000, longest: int = 64):
+    def __init__(self, left: Left, right: Right, memo: int = 300_000, longest: int = 64, chunk: int = 1 << 18):
         self.left, self.right = left, right
-        self.size = [np.array([len(t) for t in x.bytes], dtype=np.int64) for x in (left, right)]
+        self.spelling = [Spelling(x.bytes) for x in (left, right)]
+        self.size = [x.size for x in self.spelling]
         self.names = [f"{i}{c}" for x, end in ((left, "|"), (right, ";")) for i in range(len(x.bytes)) for c in (",", end)]
         self.marked = [np.array([t[:1] == b" " for t in x.bytes]) for x in (left, right)]
         self.memo: dict[bytes, tuple[str, int, bytes]] = {}
-        self.most, self.longest = memo, longest
+        self.most, self.longest, self.chunk = memo, longest, chunk
 
-    def one(self, text: str | None):
-        """(n_a, n_b, n_groups, n_links, groups_sha256, linked id pairs ascending, how often each is linked)."""
-        none = (0, 0, 0, 0, "", np.empty(0, np.int32), np.empty(0, np.int64))
+    def keys(self, text: str | None) -> tuple[int, int, list[bytes]] | None:
+        """Numbers of tokens and one key a window: its ids of A, a mark, its ids of B. None for texts without tokens."""
         if not text:
-            return none
+            return None
         whole = " " + text
-        list_a, list_b, raw = self.left.encode(whole), self.right.encode(text), whole.encode()
-        if not (self.left.spells(list_a, raw) and self.right.spells(list_b, raw)):
-            return none
-        a, b = np.array(list_a, np.uint16), np.array(list_b, np.uint16)
+        a, b, raw = self.left.encode(whole), self.right.encode(text), whole.encode()
         ends_a, ends_b = np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b])
+        if self.spelling[0].of(a, ends_a) != raw or self.spelling[1].of(b, ends_b) != raw:
+            return None
         # anchors: bytes at which both sides start a token that is marked with a space
         at = np.full(len(raw), -1, dtype=np.int32)
         i = np.flatnonzero(self.marked[0][a])
@@ -176,31 +185,47 @@ class Aligner:
         i, j = i[i >= 0], j[i >= 0]
         skip = int(len(i) > 0 and i[0] == j[0] == 0)  # the first window starts at 0 in any case
         i, j = (np.concatenate([[0], x[skip:], [n]]) for x, n in ((i, len(a)), (j, len(b))))
-        # one key a window: its ids of A, a mark, its ids of B
-        n, m, w = np.diff(i), np.diff(j), np.arange(len(i) - 1)
+        n, m, w = i[1:] - i[:-1], j[1:] - j[:-1], np.arange(len(i) - 1)
         both = np.full(len(a) + len(b) + len(w), MARK, np.uint16)
         both[np.arange(len(a)) + np.repeat(j[:-1] + w, n)] = a
         both[np.arange(len(b)) + np.repeat(i[1:] + w + 1, m)] = b
-        raw, cut = both.tobytes(), (2 * (i + j + np.arange(len(i)))).tolist()
-        keys = [raw[x:y] for x, y in zip(cut, cut[1:])]
+        packed, cut = both.tobytes(), (2 * (i + j + np.arange(len(i)))).tolist()
+        return len(a), len(b), [packed[x:y] for x, y in zip(cut, cut[1:])]
+
+    def many(self, texts: list[str | None]) -> list[tuple]:
+        """For each text: n_a, n_b, n_groups, n_links, groups_sha256, linked id pairs ascending, how often each is linked.
+
+        Windows that the memo doesn't know are aligned for some texts at once.
+        """
+        out: list[tuple] = []
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= self.chunk):
+                size, end = size + len(texts[end] or ""), end + 1
+            out += self.some(texts[at:end])
+            at = end
+        return out
+
+    def some(self, texts: list[str | None]) -> list[tuple]:
         if len(self.memo) > self.most:
             self.memo.clear()
-        found, heavy = list(map(self.memo.get, keys)), []
-        if None in found:
-            new = list({key: None for key, x in zip(keys, found) if x is None})  # each window once
-            made, long = self.windows(new)
-            found = [made[key] if x is None else x for key, x in zip(keys, found)]
-            if long:  # windows with long groups, as often as they occur
-                counts = Counter(key for key in keys if key in long)
-                heavy = [(p, t * counts[key]) for key, (p, t) in long.items()]
+        cut = [self.keys(t) for t in texts]
+        found = [list(map(self.memo.get, x[2])) if x else [] for x in cut]
+        new = list({key: None for x, f in zip(cut, found) if None in f for key, y in zip(x[2], f) if y is None})  # each window once
+        made, heavy = self.windows(new) if new else ({}, {})
+        return [self.summed(x, [made[k] if y is None else y for k, y in zip(x[2], f)] if None in f else f, heavy) if x else NOTHING for x, f in zip(cut, found)]
+
+    def summed(self, cut: tuple[int, int, list[bytes]], found: list[tuple[str, int, bytes]], heavy: dict) -> tuple:
+        n_a, n_b, keys = cut
         texts, numbers, pairs = zip(*found)
-        groups = sum(numbers)
         ids, times = np.unique(np.frombuffer(b"".join(pairs), dtype=np.int32), return_counts=True)
-        if heavy:
-            ids, times = np.concatenate([ids, *(p for p, _ in heavy)]), np.concatenate([times, *(t for _, t in heavy)])
+        if heavy:  # windows with long groups, as often as they occur
+            more = [(heavy[k][0], heavy[k][1] * n) for k, n in Counter(k for k in keys if k in heavy).items()]
+            ids, times = np.concatenate([ids, *(p for p, _ in more)]), np.concatenate([times, *(t for _, t in more)])
             ids, of = np.unique(ids, return_inverse=True)
             times = np.bincount(of, times).astype(np.int64)
-        return len(a), len(b), groups, int(times.sum()), hashlib.sha256(";".join(texts).encode()).hexdigest(), ids, times
+        return n_a, n_b, sum(numbers), int(times.sum()), hashlib.sha256(";".join(texts).encode()).hexdigest(), ids, times
 
     def windows(self, keys: list[bytes]) -> tuple[dict, dict]:
         """Alignments of different windows (text, groups, pairs) by their ids, kept for later texts; and distinct pairs of those with long groups."""
@@ -229,11 +254,11 @@ def linked(docs: DataFrame, left: str, right: bytes, doc_id: str = "doc_id", tex
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, n = aligner(*files.value).one, TaskContext.get().partitionId() << 33
+        many, n = aligner(*files.value).many, TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                got = [one(t) for t in part.column("text").to_pylist()]
+                got = many(part.column("text").to_pylist())
                 offsets = pa.array(np.cumsum([0, *(len(g[5]) for g in got)]), pa.int32())
                 flat = lambda i, t: pa.array(np.concatenate([g[i] for g in got]).astype(t))
                 ints = [pa.array([g[i] for g in got], pa.int64()) for i in range(4)]
