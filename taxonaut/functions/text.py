@@ -170,3 +170,29 @@ def quantity_holds(value: Column, op: Column, threshold: Column) -> Column:
     """value op threshold for >= <= > < =, where = allows 0.001; any other op is false."""
     out = F.when(op == ">=", value >= threshold).when(op == "<=", value <= threshold).when(op == ">", value > threshold).when(op == "<", value < threshold)
     return F.coalesce(out.when(op == "=", F.abs(value - threshold) < 0.001).otherwise(False), F.lit(False))
+
+
+def matched(text: Column, pattern: str, groups: int = 1, window: int = 0) -> Column:
+    """Every match of a pattern, left to right: an array of structs (match, g1, ..., prior, later).
+
+    ``prior`` and ``later`` are the ``window`` characters around the match, as
+    far as the text goes. A group that took no part is ''. One pass marks the
+    matches; the windows come from the pieces between the marks, as many as
+    they can reach into, so a long text costs its length.
+    """
+    marks = [chr(1), *(chr(2 + i) for i in range(groups + 1)), chr(3 + groups)]  # control characters; those of the text count as spaces
+    clean = F.translate(F.coalesce(text, F.lit("")), "".join(marks), " " * len(marks))
+    template = marks[0] + "$0" + "".join(f"{marks[i]}${i}" for i in range(1, groups + 1)) + marks[groups + 1]
+    parts = F.split(F.regexp_replace(clean, pattern, template), marks[0])
+    bodies = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct(F.substring_index(x, marks[1], 1).alias("match"), *(between(x, marks[i], marks[i + 1]).alias(f"g{i}") for i in range(1, groups + 1)), F.substring_index(x, marks[groups + 1], -1).alias("rest")))
+    plain = F.concat(F.array(F.get(parts, F.lit(0))), F.transform(bodies, lambda b: F.concat(b["match"], b["rest"])))
+    reach = window + 1  # pieces after the first have a character at least
+    before = lambda i: F.array_join(F.slice(plain, F.greatest(i + 1 - reach, F.lit(0)) + 1, F.least(i + 1, F.lit(reach))), "")
+    after = lambda b, i: F.concat(b["rest"], F.array_join(F.slice(plain, i + 3, reach), ""))
+    around = lambda b, i: (F.when(F.lit(window) > 0, F.right(before(i), F.lit(window))).otherwise(""), F.substring(after(b, i), 1, window) if window else F.lit(""))
+    return F.transform(bodies, lambda b, i: F.struct(b["match"].alias("match"), *(b[f"g{g}"].alias(f"g{g}") for g in range(1, groups + 1)), around(b, i)[0].alias("prior"), around(b, i)[1].alias("later")))
+
+
+def between(text: Column, start: str, end: str) -> Column:
+    """What lies between the first ``start`` and the first ``end`` after it."""
+    return F.substring_index(F.substring(text, F.instr(text, start) + 1, F.length(text)), end, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import normalize
+from ..functions.text import matched, normalize
 from .match import contained
 
 # Patterns of a commentary's scope, examples, references, attributes; conditions in notes.
@@ -42,9 +42,14 @@ def includes(content: Column, title: Column) -> Column:
 
 
 def excludes(content: Column, code: Column) -> Column:
-    """Other headings that a commentary refers to, each once with some text around the first reference of its pattern; five at most."""
-    around = [F.transform(F.arrays_zip(found(content, [p]).alias("t"), F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(f"(?s)(.{{0,50}}{p}.{{0,50}})"), 1).alias("c")), lambda z: F.struct(z["t"].alias("code"), F.substring(F.trim(F.coalesce(z["c"], F.lit(""))), 1, 100).alias("reason"))) for p in REFERENCES]
-    every = F.filter(F.concat(*around), lambda x: x["code"].isNotNull() & (x["code"] != code))
+    """Other headings that a commentary refers to, each once with the text around its first reference; five at most.
+
+    References come pattern by pattern; the reason is a reference with the 50
+    characters on either side, without blank ends, cut to 100.
+    """
+    reason = lambda m: F.substring(F.trim(F.concat(m["prior"], m["match"], m["later"])), 1, 100)
+    around = [F.transform(matched(content, p, 1, 50), lambda m: F.struct(m["g1"].alias("code"), reason(m).alias("reason"))) for p in REFERENCES]
+    every = F.filter(F.concat(*around), lambda x: x["code"] != code)
     first = F.transform(F.array_distinct(F.transform(every, lambda x: x["code"])), lambda c: F.get(F.filter(every, lambda x: x["code"] == c), F.lit(0)))
     return F.slice(first, 1, 5)
 
