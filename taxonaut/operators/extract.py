@@ -71,6 +71,17 @@ def signals(texts: DataFrame, text: str = "text", raw: bool = True) -> DataFrame
     return rows.drop("_norm")
 
 
+def matched_keywords(texts: DataFrame, text: str = "text") -> DataFrame:
+    """item_id and for each signal the keywords that the normalised text has, sorted; null where there are none."""
+    norm = texts.select("item_id", normalize(F.col(text)).alias("_norm"))
+    found = {}
+    for name, (keywords, _) in SIGNALS.items():
+        kws = F.array(*(F.lit(w) for w in sorted({w.replace("-", " ").strip() for w in keywords if len(w) >= 2})))
+        held = F.filter(kws, lambda k: F.contains(F.col("_norm"), k))
+        found[name] = F.when(F.size(held) > 0, held)
+    return norm.select("item_id", *(c.alias(n) for n, c in found.items()))
+
+
 def lexicon_tags(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Categories of (axis, category, keyword) found in (item_id, norm): per item and axis the values, matches and confidence.
 

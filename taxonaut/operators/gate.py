@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -59,6 +59,16 @@ def apply_gate(gated: DataFrame, fixed: float = 0.5) -> DataFrame:
     return passed.unionByName(more.withColumn("redirected", F.lit(True))).withColumn("fixed_score", F.when(F.col("redirected"), fixed))
 
 
+def fact_holds(values: Column, operator: Column, value: Column) -> Column:
+    """Whether an axis' values meet a required fact, letters in either case; comparisons of amounts never do."""
+    values = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.lower(v))
+    want = F.lower(value)
+    return (
+        F.when(operator == "eq", F.array_contains(values, want)).when(operator == "ne", ~F.array_contains(values, want))
+        .when(operator == "contains", F.exists(values, lambda v: F.contains(v, want))).when(operator == "not_contains", ~F.exists(values, lambda v: F.contains(v, want))).otherwise(False)
+    )
+
+
 def fact_check(candidates: DataFrame, facts: DataFrame, axes: DataFrame, low: float = 0.3) -> DataFrame:
     """Per candidate: satisfied, missing hard and missing soft facts, satisfaction rate, sufficient.
 
@@ -66,13 +76,8 @@ def fact_check(candidates: DataFrame, facts: DataFrame, axes: DataFrame, low: fl
     values, confidence. A hard exclusion on an axis of low confidence is soft.
     """
     rows = candidates.select(*KEYS).join(facts, "code").join(axes, ["item_id", "axis"], "left")
-    values = F.transform(F.coalesce("values", F.array().cast("array<string>")), F.lower)
-    want = F.lower("value")
     op = F.col("operator")
-    ok = (
-        F.when(op == "eq", F.array_contains(values, want)).when(op == "ne", ~F.array_contains(values, want))
-        .when(op == "contains", F.exists(values, lambda v: F.contains(v, want))).when(op == "not_contains", ~F.exists(values, lambda v: F.contains(v, want))).otherwise(False)
-    )
+    ok = fact_holds(F.col("values"), op, F.col("value"))
     hard = (F.col("hardness") == "hard") & ~((op == "not_contains") & (F.coalesce("confidence", F.lit(0.0)) < low))
     n = lambda c: F.sum(c.cast("int"))
     out = rows.withColumn("_ok", ok).withColumn("_hard", hard).groupBy(*KEYS).agg(n(F.col("_ok")).alias("satisfied"), n(~F.col("_ok") & F.col("_hard")).alias("missing_hard"), n(~F.col("_ok") & ~F.col("_hard")).alias("missing_soft"))

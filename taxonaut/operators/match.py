@@ -225,3 +225,18 @@ def inject_truth(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     missing = labels.join(candidates, ["item_id", "code"], "left_anti").select("item_id", "code", F.lit(0.0).alias("score"))
     every = candidates.select("item_id", "code", F.col("score").cast("double").alias("score")).unionByName(missing)
     return every.join(labels.withColumn("label", F.lit(1)), ["item_id", "code"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def union_candidates(lists: dict[str, DataFrame]) -> DataFrame:
+    """Candidates (item_id, code) of several lists, each once, with the names of the lists that have it, in their order."""
+    every = None
+    for at, (name, rows) in enumerate(lists.items()):
+        one = rows.select("item_id", "code", F.struct(F.lit(at).alias("at"), F.lit(name).alias("name")).alias("s"))
+        every = one if every is None else every.unionByName(one)
+    found = every.groupBy("item_id", "code").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    return found.select("item_id", "code", F.transform("s", lambda s: s["name"]).alias("sources"))
+
+
+def known_codes(cards: DataFrame, rules: DataFrame) -> DataFrame:
+    """Codes that cards or rules are about, each once."""
+    return cards.select("code").union(rules.select("code")).distinct()

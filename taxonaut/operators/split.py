@@ -138,3 +138,13 @@ def leakage(train: DataFrame, test: DataFrame, text: str = "text") -> DataFrame:
     both = b.join(a.withColumn("_in", F.lit(1)), text, "left")
     n = F.count(F.lit(1))
     return both.agg(n.alias("test_texts"), F.count("_in").alias("shared"), F.round(F.when(n > 0, F.count("_in") / n).otherwise(0.0), 6).alias("ratio"))
+
+
+def known_classes(test: DataFrame, train: DataFrame, code: str = "code") -> DataFrame:
+    """Test rows whose class the training side has; null classes go."""
+    return test.join(train.select(code).distinct(), code, "left_semi").select(test.columns)
+
+
+def first_distinct(values: Column, n: int) -> Column:
+    """The first n different entries of an array, in order."""
+    return F.slice(F.array_distinct(values), 1, n)

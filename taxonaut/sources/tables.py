@@ -130,3 +130,47 @@ def write_postings(docs: DataFrame, path: str) -> None:
     postings, idf = bm25_index(docs)
     postings.repartition("token").sortWithinPartitions("token", "doc").write.mode("overwrite").parquet(f"{path}/postings")
     idf.write.mode("overwrite").parquet(f"{path}/idf")
+
+
+SUBHEADINGS = "hs6 string, hs4 string, title_ko string, keywords array<string>, subheading_notes array<string>, case_count int"
+PREDICTIONS = (
+    "sample_id string, text string, true_hs4 string, topk array<struct<hs4: string, hs6: string, score_ml: double, score_card: double, score_rule: double, score_total: double, "
+    "evidence: array<struct<kind: string, source_id: string, text: string, weight: double>>>>, decision struct<status: string, reason: string, confidence: double>, questions array<string>"
+)
+
+
+def counted_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines by an explicit schema, and one row (lines, kept, dropped) of how many could be read.
+
+    A line that isn't JSON, or whose fields don't fit the schema, is dropped
+    and counted; blank lines don't count.
+    """
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, mode="PERMISSIVE")
+    counts = rows.select("*").agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("_bad").isNull(), 1)).alias("kept"), F.count("_bad").alias("dropped"))
+    return rows.filter("_bad is null").drop("_bad"), counts
+
+
+def subheadings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Subcodes (subcode, code, title, keywords, notes, case_count) of a JSON-lines table, and what was dropped; rows without a subcode go.
+
+    A missing code is the subcode's first four characters.
+    """
+    rows, counts = counted_lines(spark, path, SUBHEADINGS)
+    none = F.array().cast("array<string>")
+    rows = rows.filter("hs6 <> ''").select(
+        F.col("hs6").alias("subcode"), F.coalesce("hs4", F.substring("hs6", 1, 4)).alias("code"), F.coalesce("title_ko", F.lit("")).alias("title"),
+        F.coalesce("keywords", none).alias("keywords"), F.coalesce("subheading_notes", none).alias("notes"), F.coalesce("case_count", F.lit(0)).alias("case_count"),
+    )
+    return rows, counts
+
+
+def saved_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Saved predictions as long rows (item_id, true_code, code, subcode, score, rank, evidence, status, confidence), and what was dropped.
+
+    ``score`` is the total score, or else the model's; evidence stays an array
+    of structs. Items without candidates keep one row without a code.
+    """
+    rows, counts = counted_lines(spark, path, PREDICTIONS)
+    long = rows.select(F.col("sample_id").alias("item_id"), F.col("true_hs4").alias("true_code"), F.posexplode_outer("topk").alias("p", "k"), "decision.status", "decision.confidence")
+    out = long.select("item_id", "true_code", F.col("k.hs4").alias("code"), F.col("k.hs6").alias("subcode"), F.coalesce("k.score_total", "k.score_ml").alias("score"), (F.col("p") + 1).alias("rank"), F.col("k.evidence").alias("evidence"), "status", "confidence")
+    return out, counts

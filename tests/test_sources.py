@@ -57,3 +57,21 @@ def test_models(spark):
     ranker = models.fit_ranker(ranked, ["f_a", "f_b"])
     assert models.rank(ranker, ranked).filter("(score > 0.5) <> (label = 1)").count() == 0
     assert models.importances(ranker, ["f_a", "f_b"], spark).orderBy("gain", ascending=False).first().feature == "f_a"
+
+
+def test_malformed_lines_are_counted(spark, tmp_path):
+    good = [{"hs6": "010101", "hs4": "0101", "title_ko": "t", "keywords": ["a"], "subheading_notes": ["n"], "case_count": 3}, {"hs6": "010202"}, {"hs6": ""}]
+    (tmp_path / "s").write_text("\n".join([*map(json.dumps, good), "{broken", '{"hs6": "030303", "case_count": "many"}', "", "[1"]) + "\n")
+    rows, counts = tables.subheadings(spark, str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("010101", "0101", "t", ["a"], ["n"], 3), ("010202", "0102", "", [], [], 0)]
+    assert tuple(counts.first()) == (6, 3, 3)
+
+
+def test_saved_predictions_keep_evidence(spark, tmp_path):
+    top = [{"hs4": "0101", "score_ml": 0.5, "score_total": 0.9, "evidence": [{"kind": "card", "source_id": "c", "text": "x", "weight": 1.0}]}, {"hs4": "0202", "hs6": "020201", "score_ml": 0.4}]
+    lines = [{"sample_id": "a", "true_hs4": "0101", "topk": top, "decision": {"status": "AUTO", "confidence": 0.9}}, {"sample_id": "b", "topk": []}]
+    (tmp_path / "p").write_text("\n".join([*map(json.dumps, lines), "not json"]))
+    rows, counts = tables.saved_predictions(spark, str(tmp_path / "p"))
+    got = {(r.item_id, r["rank"]): r for r in rows.collect()}
+    assert set(got) == {("a", 1), ("a", 2), ("b", None)} and got["a", 1].score == 0.9 and got["a", 2].score == 0.4 and got["a", 2].subcode == "020201"
+    assert got["a", 1].evidence[0].kind == "card" and got["a", 1].status == "AUTO" and tuple(counts.first()) == (3, 2, 1)
