@@ -11,33 +11,76 @@ from ..functions.text import STOPWORDS_KO, normalize, sentences
 # Keywords and patterns of the five signals.
 SIGNALS = {
     "note_like": (
-        "주 류주 장주 호주 소호주 제1류 제2류 제3류 제4류 제5류 제6류 제7류 제8류 제9류 제10류 해설서 품목분류 통칙 관세율표 부의주 류의주 장의주".split()
-        + ["note", "chapter note", "section note", "heading note", "subheading note", "legal note", "explanatory note"],
+        [
+            "주", "류주", "장주", "호주", "소호주",
+            "제1류", "제2류", "제3류", "제4류", "제5류",
+            "제6류", "제7류", "제8류", "제9류", "제10류",
+            "해설서", "품목분류", "통칙", "관세율표",
+            "부의주", "류의주", "장의주",
+            "note", "chapter note", "section note", "heading note",
+            "subheading note", "legal note", "explanatory note",
+        ],
         [r"제\s*\d+\s*류", r"제\s*\d+\s*장", r"\d+류\s*주", r"chapter\s*\d+", r"section\s*[ivx]+"],
     ),
     "incomplete": (
-        "미조립 조립용 분해 반제품 미완성 조립식 조립품 녹다운 분리 해체 미가공 반가공 부분품 구성품 조립전 분해상태".split()
-        + ["조립 전", "분해 상태", "ckd", "skd", "knockdown", "knock-down", "knock down", "unassembled", "disassembled", "incomplete", "unfinished", "semi-finished", "semifinished", "partially", "kit", "kits", "assembly", "to be assembled"],
+        [
+            "미조립", "조립용", "분해", "반제품", "미완성",
+            "조립식", "조립품", "녹다운", "분리", "해체",
+            "미가공", "반가공", "부분품", "구성품",
+            "조립전", "조립 전", "분해상태", "분해 상태",
+            "ckd", "skd", "knockdown", "knock-down", "knock down",
+            "unassembled", "disassembled", "incomplete", "unfinished",
+            "semi-finished", "semifinished", "partially",
+            "kit", "kits", "assembly", "to be assembled",
+        ],
         [r"c\.?k\.?d", r"s\.?k\.?d", r"미\s*조립", r"반\s*제품"],
     ),
     "mixtures": (
-        "혼합 블렌드 함유 합금 코팅 복합 적층 충전 첨가 배합 성분 재질 소재 원료 피복 도금 접합 라미네이트 함량 비율 농도".split()
-        + "mixture mixed blend blended alloy coated coating composite laminated laminate filled combined compound compounded containing consists composed plated clad covered".split()
-        + ["made of"],
+        [
+            "혼합", "블렌드", "함유", "합금", "코팅",
+            "복합", "적층", "충전", "첨가", "배합",
+            "성분", "재질", "소재", "원료",
+            "피복", "도금", "접합", "라미네이트",
+            "함량", "비율", "농도",
+            "mixture", "mixed", "blend", "blended", "alloy",
+            "coated", "coating", "composite", "laminated", "laminate",
+            "filled", "combined", "compound", "compounded",
+            "containing", "consists", "made of", "composed",
+            "plated", "clad", "covered",
+        ],
         [r"\d+\s*%", r"\d+\s*퍼센트", r"함량\s*\d+", r"비율\s*\d+"],
     ),
     "multi_candidate": (
-        "세트 본질적 혼용 복수 겸용 다용도 다기능 복합기 일체형 구성품 조합 묶음 패키지 키트 콤보 셋트".split()
-        + ["set", "sets", "essential", "essential character", "multi-purpose", "multipurpose", "multi-function", "combo", "combination", "package", "kit", "put up", "retail sale", "together"],
+        [
+            "세트", "본질적", "혼용", "복수", "겸용",
+            "다용도", "다기능", "복합기", "일체형",
+            "구성품", "조합", "묶음", "패키지",
+            "키트", "콤보", "셋트",
+            "set", "sets", "essential", "essential character",
+            "multi-purpose", "multipurpose", "multi-function",
+            "combo", "combination", "package", "kit",
+            "put up", "retail sale", "together",
+        ],
         [r"세트\s*구성", r"\d+\s*종\s*세트", r"본질적\s*특성"],
     ),
     "containers": (
-        "케이스 보관함 전용케이스 포장용기 하드케이스 소프트케이스 가방 파우치 박스 상자 용기 컨테이너 보관".split()
-        + ["전용 케이스", "case", "cases", "container", "containers", "box", "boxes", "pouch", "bag", "bags", "packaging", "packing", "storage", "specially shaped", "fitted"],
+        [
+            "케이스", "보관함", "전용케이스", "전용 케이스",
+            "포장용기", "하드케이스", "소프트케이스",
+            "가방", "파우치", "박스", "상자",
+            "용기", "컨테이너", "보관",
+            "case", "cases", "container", "containers",
+            "box", "boxes", "pouch", "bag", "bags",
+            "packaging", "packing", "storage",
+            "specially shaped", "fitted",
+        ],
         [r"전용\s*케이스", r"보관\s*용", r"케이스\s*포함"],
     ),
-}
-PARTS = "부품 부속품 부속 액세서리 교체품 소모품 예비품 예비부품 스페어 part parts accessory accessories component components spare spares replacement consumable".split()
+}
+PARTS = [
+    "부품", "부속품", "부속", "액세서리", "교체품", "소모품", "예비품", "예비부품", "스페어",
+    "part", "parts", "accessory", "accessories", "component", "components", "spare", "spares", "replacement", "consumable",
+]
 HARD = ["제외한다", "제외된다", "해당하지 아니한다", "해당하지 않는다", "해당되지 아니한다", "해당되지 않는다", "분류하지 아니한다", "분류하지 않는다", "분류되지 아니한다", "포함하지 아니한다", "포함하지 않는다", "포함되지 아니한다", "적용하지 아니한다", "적용하지 않는다", "이 류에서", "이 호에서", "이 절에서", "다음 각 목의 것은 제외", "다음의 것은 제외"]
 EXCLUDE_NOTE = [r"제외한다", r"포함하지\s*않는다", r"분류하지\s*않는다", r"해당하지\s*않는다", r"제외된다", r"적용하지\s*않는다", r"is\s+excluded", r"does\s+not\s+include", "excluding", "except"]
 REDIRECT_NOTE = [r"제\d{4}호[에로]?\s*분류", r"제\d{2}류[에로]?\s*분류", r"제\d+호\s*참조", r"classify\s+(?:in|under|to)\s+heading\s+\d{4}", r"refer\s+to\s+heading"]

@@ -56,11 +56,6 @@ def fused(s, d):
     return retrieval.fuse([top.filter("rank <= 10"), other.filter("doc % 2 = 0")])
 
 
-def contexts(s, d):
-    top = short_bm25(s, d).filter("rank <= 5").join(table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.substring("text", 1, 900).alias("block")), "doc")
-    return retrieval.budgeted_context(top.select("query_id", "rank", "block"), 3000)
-
-
 def passages(s, d):
     """The lines of all documents that aren't blank, each a document of its own: doc_id is document:line."""
     lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter(F.trim("text") != "")
@@ -204,7 +199,6 @@ QUERIES = {
     "j12_dense": (lambda s, d: retrieval.dense(asked(s, d), vectors(s, d), 10), f"WITH {DENSE} SELECT * FROM de WHERE rank <= 10"),
     "j16_fusion": (fused, f"WITH {BM25}, l AS (SELECT query_id, doc, rank FROM bm WHERE rank <= 10 UNION ALL SELECT query_id, doc, rank * 2 FROM bm WHERE rank <= 30 AND doc % 2 = 0), f AS (SELECT query_id, doc, round(sum(1 / (60 + rank)), 6) AS score FROM l GROUP BY query_id, doc) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INT) AS rank FROM f QUALIFY rank <= 20"),
     "j15_expand": (expanded, f"WITH {ITEMS}, a AS (SELECT DISTINCT string_split(lower(p_name), ' ')[1] AS term, string_split(lower(p_name), ' ')[2] AS alias FROM items), ar AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY alias) AS position FROM a), w AS (SELECT item_id, unnest(string_split(lower(p_name), ' ')) AS term, unnest(range(len(string_split(lower(p_name), ' ')))) AS pos FROM items), m AS (SELECT item_id, string_agg(alias, ' ' ORDER BY pos, position) AS more FROM w JOIN ar ON w.term = ar.term WHERE position <= 3 GROUP BY item_id) SELECT items.item_id AS query_id, concat_ws(' ', text, more) AS expanded FROM items LEFT JOIN m ON m.item_id = items.item_id"),
-    "g35_context": (contexts, f"WITH {BM25}, b AS (SELECT query_id, rank, left(text, 900) AS block FROM bm JOIN documents ON doc = doc_id WHERE rank <= 5), c AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM b) SELECT query_id, count(*) AS blocks, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM c WHERE total <= 3000 GROUP BY query_id"),
     "g35_context_passages": (passage_contexts, f"WITH {PASSAGES}, b AS (SELECT query_id, rank, text AS block FROM bm JOIN passages ON doc = doc_id WHERE rank <= 30), c AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM b) SELECT query_id, count(*) AS blocks, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM c WHERE total <= 3600 GROUP BY query_id"),
     "x28_note_types": (lambda s, d: table(s, d, "documents").select("doc_id", extract.note_type(F.col("text")).alias("note_type")), f"SELECT doc_id, {NOTE} AS note_type FROM documents"),
     "x31_notes_from_lines": (turns, TURNS),

@@ -145,9 +145,11 @@ def counted_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     A line that isn't JSON, or whose fields don't fit the schema, is dropped
     and counted; blank lines don't count.
     """
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, mode="PERMISSIVE")
-    counts = rows.select("*").agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("_bad").isNull(), 1)).alias("kept"), F.count("_bad").alias("dropped"))
-    return rows.filter("_bad is null").drop("_bad"), counts
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("a"))
+    good = F.col("a").isNotNull() & F.col("a._bad").isNull()
+    counts = rows.agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(good, 1)).alias("kept"), F.count(F.when(~good, 1)).alias("dropped"))
+    return rows.filter(good).select("a.*").drop("_bad"), counts
 
 
 def subheadings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
