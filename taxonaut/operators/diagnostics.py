@@ -60,9 +60,13 @@ def axis_statistics(items: DataFrame, axes: DataFrame) -> DataFrame:
 
 
 def feature_distribution(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Per feature: mean, p95, extremes and non-zero share; one scan for all features."""
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")).select("s.*")
-    return long.groupBy("feature").agg(F.round(F.avg("x"), DP).alias("mean"), F.round(F.percentile("x", F.lit(0.95)), DP).alias("p95"), F.min("x").alias("least"), F.max("x").alias("most"), F.round(F.avg((F.col("x") != 0).cast("int")), DP).alias("nonzero"))
+    """Per feature: mean, p95, extremes and non-zero share; one scan for all features, rows alike in them counted first."""
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    long = counted.select("n", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")).select("n", "s.*")
+    n = lambda c: F.sum(F.when(c, F.col("n")))
+    mean = F.sum(F.col("x") * F.col("n")) / n(F.col("x").isNotNull())
+    nonzero = F.coalesce(n(F.col("x") != 0), F.when(n(F.col("x").isNotNull()) > 0, 0)) / n(F.col("x").isNotNull())
+    return long.groupBy("feature").agg(F.round(mean, DP).alias("mean"), F.round(F.percentile("x", F.lit(0.95), F.col("n")), DP).alias("p95"), F.min("x").alias("least"), F.max("x").alias("most"), F.round(nonzero, DP).alias("nonzero"))
 
 
 def shuffled_feature(rows: DataFrame, column: str, seed: int, key: str = "row_id") -> DataFrame:
