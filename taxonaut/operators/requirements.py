@@ -128,12 +128,15 @@ def inherited_facts(codes: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of each code (code): those of its chapter's notes and its section's, by scope; code, then the facts' columns.
 
     A fact that the chapter and the section both state is inherited from the
-    chapter alone (``nearest``: chapter or section).
+    chapter alone (``nearest``: chapter or section). Codes meet each different
+    fact of a scope once, not every note that states it.
     """
     chapter = F.substring("code", 1, 2)
     base = codes.select("code").distinct()
     levels = base.select("code", F.lit("chapter").alias("nearest"), F.concat(F.lit("chapter_"), chapter).alias("scope")).union(base.select("code", F.lit("section"), F.concat(F.lit("section_"), section_of(chapter.cast("int")).cast("string"))))
-    rows = levels.join(facts, "scope")
-    same = ["code", "axis", "operator", "value"]
+    fact = ["axis", "operator", "value"]
+    same = ["code", *fact]
+    stated = facts.groupBy("scope", *fact).agg(F.min(F.struct("note_id", "hardness", "basis", "confidence")).alias("s"))
+    rows = levels.join(stated, "scope").select(*same, "nearest", "s.*")
     first = rows.groupBy(*same).agg(F.min(F.struct("nearest", "note_id", "hardness", "basis", "confidence")).alias("f"))  # chapter sorts before section
     return first.select(*same, "f.nearest", "f.note_id", "f.hardness", "f.basis", "f.confidence")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import profiles, requirements
+from ..sources.scratch import spread
 from .axis_queries import COMM, commentary
 from .fixtures import ITEMS, items
 from .match_queries import norm_sql
@@ -79,7 +80,7 @@ def note_rows(s, d):
     clause = F.element_at(F.array(*map(F.lit, CLAUSES)), (i % len(CLAUSES) + 1).cast("int"))
     level = F.element_at(F.array(F.lit("section"), F.lit("chapter"), F.lit("subheading")), (i % 3 + 1).cast("int"))
     content = F.replace(clause, F.lit("{}"), F.col("p_name"))
-    return items(s, d).select(level.alias("level"), t.section_of(F.substring("code", 1, 2).cast("int")).alias("section_num"), F.substring("code", 1, 2).cast("int").alias("chapter_num"), i.alias("note_number"), content.alias("note_content"))
+    return spread(items(s, d), "item_id").select(level.alias("level"), t.section_of(F.substring("code", 1, 2).cast("int")).alias("section_num"), F.substring("code", 1, 2).cast("int").alias("chapter_num"), i.alias("note_number"), content.alias("note_content"))
 
 
 def fact_rows(s, d):
