@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import normalize, section_of, tokenize
+from ..sources.scratch import reference, spread
 
 DP = 6
 KEYS = ["item_id", "code"]
@@ -59,6 +60,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def note_weights(subcodes: DataFrame) -> DataFrame:
+    """(subcode, _n): for each word of a subcode's notes half the sum of 1 / the number of different words, over the notes that have it.
+
+    An item's share of the words of all notes is the sum over its own words,
+    so it costs these and not the notes, which are as many as there are parts.
+    """
+    notes = subcodes.select("subcode", F.explode("notes").alias("note")).groupBy("subcode", "note").agg(F.count(F.lit(1)).alias("k"))
+    notes = notes.select("subcode", "k", words(normalize(F.col("note"))).alias("w")).filter(F.size("w") > 0)
+    each = notes.select("subcode", (0.5 * F.col("k") / F.size("w")).alias("g"), F.explode("w").alias("word")).groupBy("subcode", "word").agg(F.sum("g").alias("g"))
+    return each.groupBy("subcode").agg(F.map_from_entries(F.collect_list(F.struct("word", "g"))).alias("_n"))
+
+
 def subcode_scores(candidates: DataFrame, subcodes: DataFrame, items: DataFrame, axes: DataFrame) -> DataFrame:
     """Every subcode of a candidate with its four scores: keyword + 2 note + 1.5 material + case.
 
@@ -71,17 +84,18 @@ def subcode_scores(candidates: DataFrame, subcodes: DataFrame, items: DataFrame,
     """
     prepared = subcodes.select(
         "subcode", "code", "case_count", F.transform("keywords", lambda k: F.lower(k)).alias("_k"), F.array_distinct(tokenize(F.col("title"))).alias("_t"),
-        F.transform("notes", lambda n: words(normalize(n))).alias("_n"), F.lower(F.concat_ws(" ", F.array_join("keywords", " "), "title")).alias("_all"),
+        F.lower(F.concat_ws(" ", F.array_join("keywords", " "), "title")).alias("_all"),
     )
+    prepared = reference(prepared.join(note_weights(subcodes).hint("merge"), "subcode", "left"), "subcodes")
     mine = axes.filter("axis = 'material'").select("item_id", F.transform("values", lambda v: F.lower(v)).alias("_m"))
-    rows = candidates.select(*KEYS).join(prepared, "code").join(items.select("item_id", "norm", "tokens"), "item_id").join(mine, "item_id", "left")
+    rows = spread(candidates.select(*KEYS), "item_id").hint("merge").join(items.select("item_id", "norm", "tokens"), "item_id").join(mine.hint("merge"), "item_id", "left")
+    rows = rows.withColumn("_w", words(F.col("norm"))).join(prepared, "code")
     hit = lambda k: F.when(F.contains(F.col("norm"), k), 1.0).when(F.array_contains("tokens", k), 0.5).otherwise(0.0)
     keyword = total(F.transform("_k", hit)) + 0.3 * F.size(F.array_intersect("_t", F.array_distinct("tokens")))
-    rows = rows.withColumn("_w", words(F.col("norm")))
-    share = lambda n: F.when(F.size(n) > 0, 0.5 * F.size(F.array_intersect(n, F.col("_w"))) / F.size(n)).otherwise(0.0)
+    note = total(F.transform("_w", lambda w: F.coalesce(F.try_element_at("_n", w), F.lit(0.0))))
     named = F.size(F.filter("_m", lambda m: F.contains(F.col("_all"), m)))
     material = F.when(F.size("_m") > 0, named / F.size("_m")).otherwise(0.0)
-    scores = {"keyword_score": keyword, "note_score": F.least(total(F.transform("_n", share)), F.lit(1.0)), "material_score": material, "case_score": F.least(F.col("case_count") / 20, F.lit(1.0))}
+    scores = {"keyword_score": keyword, "note_score": F.least(note, F.lit(1.0)), "material_score": material, "case_score": F.least(F.col("case_count") / 20, F.lit(1.0))}
     rows = rows.select(*KEYS, "subcode", *(F.round(c, DP).alias(n) for n, c in scores.items()))
     return rows.withColumn("score", F.round(F.col("keyword_score") + 2.0 * F.col("note_score") + 1.5 * F.col("material_score") + F.col("case_score"), DP))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from taxonaut.operators import requirements
+from taxonaut.operators import requirements, subheadings
 
 
 def plan(df) -> str:
@@ -16,3 +16,12 @@ def test_codes_meet_each_fact_of_a_scope_once(spark):
     out = requirements.inherited_facts(spark.createDataFrame([("0101",), ("0102",)], "code string"), facts)
     assert [tuple(r) for r in out.select("code", "nearest", "note_id").orderBy("code").collect()] == [("0101", "chapter", "n0"), ("0102", "chapter", "n0")]
     assert re.search(r"Aggregate \[scope#", plan(out))
+
+
+def test_subcodes_meet_items_without_their_notes(spark):
+    subcodes = spark.createDataFrame([("010101", "0101", "", None, [], ["red gear", "red gear", "blue", ""], 0), ("010102", "0101", "", None, [], [], 40)], "subcode string, code string, title string, title_from string, keywords array<string>, notes array<string>, case_count long")
+    items = spark.createDataFrame([(1, "red gear big", ["red", "gear", "big"]), (2, "red", ["red"])], "item_id long, norm string, tokens array<string>")
+    out = subheadings.subcode_scores(items.selectExpr("item_id", "'0101' AS code"), subcodes, items, spark.createDataFrame([], "item_id long, axis string, values array<string>"))
+    assert [tuple(r) for r in out.select("item_id", "subcode", "note_score", "case_score").orderBy("item_id", "subcode").collect()] == [(1, "010101", 1.0, 0.0), (1, "010102", 0.0, 1.0), (2, "010101", 0.5, 0.0), (2, "010102", 0.0, 1.0)]
+    assert [tuple(r) for r in subheadings.note_weights(subcodes).collect()] == [("010101", {"red": 0.5, "gear": 0.5, "blue": 0.5})]
+    assert "notes" not in plan(out)
