@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from taxonaut.operators import requirements, subheadings
+from taxonaut.operators import requirements, steps, subheadings
 
 
 def plan(df) -> str:
@@ -12,7 +12,8 @@ def plan(df) -> str:
 
 
 def test_codes_meet_each_fact_of_a_scope_once(spark):
-    facts = spark.range(50).selectExpr("concat('n', id) AS note_id", "'chapter_01' AS scope", "'material' AS axis", "'contains' AS operator", "'pvc' AS value", "CAST(NULL AS string) AS basis", "'soft' AS hardness", "0.8D AS confidence")
+    rows = [(f"n{i}", "chapter_01", "material", "contains", "pvc", None, "soft", 0.8) for i in range(50)]
+    facts = spark.createDataFrame(rows, "note_id string, scope string, axis string, operator string, value string, basis string, hardness string, confidence double")
     out = requirements.inherited_facts(spark.createDataFrame([("0101",), ("0102",)], "code string"), facts)
     assert [tuple(r) for r in out.select("code", "nearest", "note_id").orderBy("code").collect()] == [("0101", "chapter", "n0"), ("0102", "chapter", "n0")]
     assert re.search(r"Aggregate \[scope#", plan(out))
@@ -25,3 +26,14 @@ def test_subcodes_meet_items_without_their_notes(spark):
     assert [tuple(r) for r in out.select("item_id", "subcode", "note_score", "case_score").orderBy("item_id", "subcode").collect()] == [(1, "010101", 1.0, 0.0), (1, "010102", 0.0, 1.0), (2, "010101", 0.5, 0.0), (2, "010102", 0.0, 1.0)]
     assert [tuple(r) for r in subheadings.note_weights(subcodes).collect()] == [("010101", {"red": 0.5, "gear": 0.5, "blue": 0.5})]
     assert "notes" not in plan(out)
+
+
+def test_only_candidates_meet_materials(spark):
+    candidates = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "a")], "item_id long, code string")
+    flags = spark.createDataFrame([(1, True, True), (2, False, True), (3, True, False)], "item_id long, incomplete boolean, mixture boolean")
+    own = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "x")], "item_id long, material string")
+    of = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "code string, material string")
+    out = steps.flagged(candidates, flags, spark.createDataFrame([("a",)], "code string"), of, own)
+    assert sorted(map(tuple, out.select("item_id", "code", "parts_penalty", "material_match").collect())) == [(1, "a", True, True), (1, "b", False, False), (2, "b", False, False), (3, "a", True, False)]
+    joins = [j for j in re.findall(r"Join .*", plan(out)) if "material#" in j]
+    assert joins and all("code#" in j for j in joins)
