@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matched, normalize, section_of
+from ..functions.text import matched, normalize, once, section_of
 from .profiles import note_id, note_scope
 
 # Patterns of quantities (number, unit), their property and the unit where the pattern has none.
@@ -55,7 +55,11 @@ def quantity_facts(text: Column, normalized: bool = True, window: int = 10) -> C
     which has lost %, points and colons, or on the text in lower case; matches
     of different patterns may overlap and all count.
     """
-    body = normalize(text) if normalized else F.lower(F.coalesce(text, F.lit("")))
+    return once(normalize(text) if normalized else F.lower(F.coalesce(text, F.lit(""))), lambda body: facts_of(body, window))
+
+
+def facts_of(body: Column, window: int) -> Column:
+    """The facts of :func:`quantity_facts` in a text that is ready for the patterns."""
     found = []
     for pattern, prop, unit in QUANTITIES:
         with_unit = unit is None

@@ -21,7 +21,7 @@ AMOUNTS = [
 def measured(s, d):
     """item_id and a text that ends with an amount."""
     phrase = F.element_at(F.array(*map(F.lit, AMOUNTS)), (F.col("item_id") % len(AMOUNTS) + 1).cast("int"))
-    return items(s, d).select("item_id", F.concat("p_name", F.lit(" "), F.replace(phrase, F.lit("{}"), F.col("p_size").cast("string"))).alias("text"))
+    return spread(items(s, d), "item_id").select("item_id", F.concat("p_name", F.lit(" "), F.replace(phrase, F.lit("{}"), F.col("p_size").cast("string"))).alias("text"))
 
 
 def quantity_rows(s, d):
