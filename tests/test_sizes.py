@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from taxonaut.operators import requirements, steps, subheadings
+from pyspark.sql import functions as F
+
+from taxonaut.functions.text import once
+from taxonaut.operators import ranking, requirements, steps, subheadings
 
 
 def plan(df) -> str:
@@ -37,3 +40,16 @@ def test_only_candidates_meet_materials(spark):
     assert sorted(map(tuple, out.select("item_id", "code", "parts_penalty", "material_match").collect())) == [(1, "a", True, True), (1, "b", False, False), (2, "b", False, False), (3, "a", True, False)]
     joins = [j for j in re.findall(r"Join .*", plan(out)) if "material#" in j]
     assert joins and all("code#" in j for j in joins)
+
+
+def test_a_value_used_twice_is_computed_once(spark):
+    same = once(F.rand(), lambda v: F.array(v, v))
+    assert all(r[0][0] == r[0][1] for r in spark.range(20).select(same).collect())
+
+
+def test_items_with_the_same_tokens_are_scored_once(spark):
+    items = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", ["y", "z"]), (3, "a", ["y", "x"]), (4, "b", ["q"])], "item_id long, code string, tokens array<string>")
+    out = ranking.naive_bayes_top(ranking.naive_bayes(items.filter("item_id < 4")), items)
+    rows = {i: [(r.code, r.score, r.rank) for r in sorted(out.collect(), key=lambda r: r.rank) if r.item_id == i] for i in (1, 2, 3, 4)}
+    assert rows[1] == rows[3] and [c for c, *_ in rows[1]] == ["a", "b"] and [c for c, *_ in rows[2]] == ["b", "a"] and not rows[4]
+    assert any("taxonaut-likeliest" in f for f in out.inputFiles())
