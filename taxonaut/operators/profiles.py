@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import matched, normalize
+from ..sources.scratch import reference
 from .match import contained
 
 # Patterns of a commentary's scope, examples, references, attributes; conditions in notes.
@@ -102,7 +103,8 @@ def search_notes(queries: DataFrame, notes: DataFrame, n: int = 10) -> DataFrame
     words = notes.select("note_id", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("term"))
     first = contained(queries, words, 1).join(words, "term").groupBy("item_id", "note_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     held = contained(notes.select(F.col("note_id").alias("item_id"), F.lower("note_content").alias("norm")), queries.select(F.col("norm").alias("term")), 1)
-    second = held.select(F.col("item_id").alias("note_id"), F.col("term").alias("norm")).join(queries.select("item_id", "norm"), "norm").select("item_id", "note_id", F.lit(0.5).alias("score"))
+    held = reference(held.select(F.col("item_id").alias("note_id"), F.col("term").alias("norm")), "held")  # else the queries may be what is broadcast
+    second = queries.select("item_id", "norm").join(held, "norm").select("item_id", "note_id", F.lit(0.5).alias("score"))
     rows = first.union(second).groupBy("item_id", "note_id").agg(F.sum("score").alias("score"))
     w = W.partitionBy("item_id").orderBy(F.desc("score"), "note_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from taxonaut.functions.text import once
-from taxonaut.operators import ranking, requirements, steps, subheadings
+from taxonaut.operators import profiles, ranking, requirements, steps, subheadings
 
 
 def plan(df) -> str:
@@ -53,3 +53,11 @@ def test_items_with_the_same_tokens_are_scored_once(spark):
     rows = {i: [(r.code, r.score, r.rank) for r in sorted(out.collect(), key=lambda r: r.rank) if r.item_id == i] for i in (1, 2, 3, 4)}
     assert rows[1] == rows[3] and [c for c, *_ in rows[1]] == ["a", "b"] and [c for c, *_ in rows[2]] == ["b", "a"] and not rows[4]
     assert any("taxonaut-likeliest" in f for f in out.inputFiles())
+
+
+def test_notes_that_hold_a_query_are_what_is_broadcast(spark):
+    notes = spark.createDataFrame([("n1", "red gear", ["red", "gear"]), ("n2", "blue", ["blue"])], "note_id string, note_content string, keywords array<string>")
+    queries = spark.createDataFrame([(1, "red gear"), (2, "big red"), (3, "blue"), (4, "none")], "item_id long, norm string")
+    out = profiles.search_notes(queries, notes)
+    assert sorted(map(tuple, out.select("item_id", "note_id", "score", "rank").collect())) == [(1, "n1", 2.5, 1), (2, "n1", 1.0, 1), (3, "n2", 1.5, 1)]
+    assert re.search(r"Join Inner, \(norm#\d+ = norm#\d+\), rightHint=\(strategy=broadcast\)", plan(out))
