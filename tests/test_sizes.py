@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from taxonaut.functions.text import once
-from taxonaut.operators import profiles, ranking, requirements, steps, subheadings
+from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, steps, subheadings
 
 
 def plan(df) -> str:
@@ -61,3 +61,19 @@ def test_notes_that_hold_a_query_are_what_is_broadcast(spark):
     out = profiles.search_notes(queries, notes)
     assert sorted(map(tuple, out.select("item_id", "note_id", "score", "rank").collect())) == [(1, "n1", 2.5, 1), (2, "n1", 1.0, 1), (3, "n2", 1.5, 1)]
     assert re.search(r"Join Inner, \(norm#\d+ = norm#\d+\), rightHint=\(strategy=broadcast\)", plan(out))
+
+
+def joins(df) -> list[str]:
+    return re.findall(r"Join .*", plan(df))
+
+
+def test_facts_meet_candidates_with_their_axes(spark):
+    cand = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b")], "item_id long, code string")
+    facts = spark.createDataFrame([("a", "material", "eq", "x", "hard"), ("a", "use", "not_contains", "y", "hard"), ("b", "material", "eq", "x", "soft")], "code string, axis string, operator string, value string, hardness string")
+    own = spark.createDataFrame([(1, "material", ["x"], 0.9), (1, "use", ["y"], 0.2), (2, "use", ["y"], 0.5)], "item_id long, axis string, values array<string>, confidence double")
+    out = gate.fact_check(cand, facts, own)
+    assert sorted(map(tuple, out.select("item_id", "code", "satisfied", "missing_hard", "missing_soft").collect())) == [(1, "a", 1, 0, 1), (1, "b", 1, 0, 0), (2, "a", 0, 2, 0), (3, "b", 0, 0, 1)]
+    asked = gate.missing_fact_questions(cand, facts, own)
+    assert sorted(map(tuple, asked.select("item_id", "axis", "value", "codes", "position").collect())) == [(2, "material", "x", 1, 1), (3, "material", "x", 1, 1)]
+    for df in (out, asked):  # facts come last, and nothing is joined by axis
+        assert any("taxonaut-with-axes" in f for f in df.inputFiles()) and not any("axis#" in j for j in joins(df))
