@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from taxonaut.functions.text import once
-from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, steps, subheadings
+from taxonaut.operators import axes, gate, profiles, ranking, requirements, steps, subheadings
 
 
 def plan(df) -> str:
@@ -77,3 +77,17 @@ def test_facts_meet_candidates_with_their_axes(spark):
     assert sorted(map(tuple, asked.select("item_id", "axis", "value", "codes", "position").collect())) == [(2, "material", "x", 1, 1), (3, "material", "x", 1, 1)]
     for df in (out, asked):  # facts come last, and nothing is joined by axis
         assert any("taxonaut-with-axes" in f for f in df.inputFiles()) and not any("axis#" in j for j in joins(df))
+
+
+def test_only_tables_of_codes_are_broadcast(spark):
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1)], "item_id long, code string, rank int")
+    index = spark.createDataFrame([("a", "completeness", ["parts"]), ("b", "completeness", ["complete"])], "code string, axis string, values array<string>")
+    items, codes = spark.createDataFrame([(1, False), (2, False)], "item_id long, has_quant boolean"), spark.createDataFrame([("a",)], "code string")
+    out = axes.conflicts(ranked, index, items, codes)
+    assert sorted(map(tuple, out.collect())) == [(1, "completeness", 5.0), (1, "quantitative_rules", 1.0)]
+    tags = spark.createDataFrame([(1, "completeness", ["parts"])], "item_id long, axis string, values array<string>")
+    wide = axes.attributes(items, tags, spark.createDataFrame([(2, [1.0])], "item_id long, quantities array<double>"))
+    assert sorted(map(tuple, wide.select("item_id", "completeness", "has_quant").collect())) == [(1, ["parts"], False), (2, [], True)]
+    for df in (out, wide):
+        for j in joins(df):
+            assert ("strategy=broadcast" if "code#" in j else "strategy=merge") in j
