@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from taxonaut.functions.text import once
-from taxonaut.operators import axes, gate, profiles, ranking, requirements, steps, subheadings
+from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, steps, subheadings
 
 
 def plan(df) -> str:
@@ -88,6 +88,8 @@ def test_only_tables_of_codes_are_broadcast(spark):
     tags = spark.createDataFrame([(1, "completeness", ["parts"])], "item_id long, axis string, values array<string>")
     wide = axes.attributes(items, tags, spark.createDataFrame([(2, [1.0])], "item_id long, quantities array<double>"))
     assert sorted(map(tuple, wide.select("item_id", "completeness", "has_quant").collect())) == [(1, ["parts"], False), (2, [], True)]
-    for df in (out, wide):
+    parts = attributes.parts_mismatch(ranked, spark.createDataFrame([(1, True)], "item_id long, is_parts boolean"), codes)
+    assert sorted(map(tuple, parts.collect())) == [(1, "a", 0), (1, "b", 0), (2, "a", 1)]
+    for df in (out, wide, parts):
         for j in joins(df):
             assert ("strategy=broadcast" if "code#" in j else "strategy=merge") in j
