@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from taxonaut.functions.text import once
 from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, steps, subheadings
+from taxonaut.plans import computed_queries
 
 
 def plan(df) -> str:
@@ -93,3 +94,10 @@ def test_only_tables_of_codes_are_broadcast(spark):
     for df in (out, wide, parts):
         for j in joins(df):
             assert ("strategy=broadcast" if "code#" in j else "strategy=merge") in j
+
+
+def test_true_codes_are_met_without_a_broadcast_of_items(spark):
+    out = computed_queries.true_code_facts(spark, "/root/testdata/sf0.001")
+    met = [j for j in joins(out) if "item_id#" in j]
+    assert met and all("rightHint=(strategy=merge)" in j for j in met)
+    assert out.count() == out.select("item_id").distinct().count() > 0
