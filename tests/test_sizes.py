@@ -101,3 +101,11 @@ def test_true_codes_are_met_without_a_broadcast_of_items(spark):
     met = [j for j in joins(out) if "item_id#" in j]
     assert met and all("rightHint=(strategy=merge)" in j for j in met)
     assert out.count() == out.select("item_id").distinct().count() > 0
+
+
+def test_questions_of_missing_axes_are_not_joined_by_axis(spark):
+    items, texts = spark.createDataFrame([(1,), (2,)], "item_id long"), spark.createDataFrame([("material", "m?"), ("completeness", "c?"), ("use", "u?")], "axis string, question string")
+    own = spark.createDataFrame([(1, "completeness", ["parts"], 0.9), (1, "material", ["x"], 0.2)], "item_id long, axis string, values array<string>, confidence double")
+    out = axes.missing_axis_questions(items, own, texts)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "material", "m?"), (1, 2, "use", "u?"), (2, 1, "completeness", "c?"), (2, 2, "material", "m?")]
+    assert not any(re.search(r"axis#\d+ = axis#", j) for j in joins(out))
