@@ -121,12 +121,24 @@ def insufficient(pairs: DataFrame) -> DataFrame:
 def case_conflicts(items: DataFrame, cases: DataFrame, n: int = 5) -> DataFrame:
     """Cases (case_id, code, materials) of another code than an item's (item_id, norm, code) one of whose materials is in its text; the first n."""
     words = cases.select("case_id", F.col("code").alias("case_code"), F.explode(F.array_distinct(F.transform("materials", F.lower))).alias("term")).filter("term <> ''")
-    met = contained(items, words, 1).join(words, "term").join(items.select("item_id", "code"), "item_id").filter(F.col("case_code") != F.col("code"))
-    w = W.partitionBy("item_id").orderBy("case_id")
+    words = reference(first_cases(words, n), "first-cases")
+    met = contained(items, words, 1).join(items.select("item_id", "code").hint("merge"), "item_id").join(words, "term").filter(F.col("case_code") != F.col("code"))
+    w = W.partitionBy("item_id").orderBy("case_id", "case_code")
     rows = met.select("item_id", "case_id", "case_code").distinct().withColumn("position", F.row_number().over(w))
     return rows.filter(F.col("position") <= n)
 
 
+def first_cases(words: DataFrame, n: int) -> DataFrame:
+    """Of cases by material (case_id, case_code, term) those that can be among the first n of another code than an item's: 2n a material.
+
+    Of one code no more than n count. Whatever code an item has, at most n of
+    the first 2n are then of it, so n of other codes are among them.
+    """
+    place = lambda keys: F.row_number().over(W.partitionBy(*keys).orderBy("case_id", "case_code"))
+    rows = words.filter("case_code is not null").distinct().withColumn("_r", place(["term", "case_code"])).filter(F.col("_r") <= n)
+    return rows.withColumn("_r", place(["term"])).filter(F.col("_r") <= 2 * n).drop("_r")
+
+
 def augmented(items: DataFrame, synonyms: DataFrame, sparse: int = 10, most: int = 2, seed: int = 42) -> DataFrame:
     """Items (item_id, text, code) of classes with fewer than ``sparse`` rows again, up to ``most`` times, with one term replaced by a synonym (term, alias).
 

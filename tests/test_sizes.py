@@ -109,3 +109,17 @@ def test_questions_of_missing_axes_are_not_joined_by_axis(spark):
     out = axes.missing_axis_questions(items, own, texts)
     assert sorted(map(tuple, out.collect())) == [(1, 1, "material", "m?"), (1, 2, "use", "u?"), (2, 1, "completeness", "c?"), (2, 2, "material", "m?")]
     assert not any(re.search(r"axis#\d+ = axis#", j) for j in joins(out))
+
+
+def test_few_cases_of_a_material_meet_items(spark):
+    cases = [(c, f"c{(c * c + c // 7) % 5}", ["Red"] if c % 3 else ["blue", "RED"]) for c in range(300)] + [(300, None, ["red"])]
+    texts = [(1, "red gear", "c0"), (2, "blue red", "c1"), (3, "blue", "c2"), (4, "none", "c3"), (5, "red", "c9")]
+    given = spark.createDataFrame(cases, "case_id long, code string, materials array<string>")
+    out = profiles.case_conflicts(spark.createDataFrame(texts, "item_id long, norm string, code string"), given)
+    want = []
+    for i, norm, code in texts:
+        met = [(c, k) for c, k, ms in cases if k and k != code and any(m.lower() in norm for m in ms)]
+        want += [(i, c, k, p + 1) for p, (c, k) in enumerate(sorted(met)[:5])]
+    assert sorted(map(tuple, out.select("item_id", "case_id", "case_code", "position").collect())) == want
+    kept = [f for f in out.inputFiles() if "taxonaut-first-cases" in f]
+    assert spark.read.parquet(*kept).groupBy("term").count().filter("count > 10").isEmpty()
