@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import matched, normalize
+from ..functions.text import matched, normalize, once, unmarked
 from ..sources.scratch import reference
 from .match import contained
 
@@ -49,10 +49,16 @@ def excludes(content: Column, code: Column) -> Column:
     characters on either side, without blank ends, cut to 100.
     """
     reason = lambda m: F.substring(F.trim(F.concat(m["prior"], m["match"], m["later"])), 1, 100)
-    around = [F.transform(matched(content, p, 1, 50), lambda m: F.struct(m["g1"].alias("code"), reason(m).alias("reason"))) for p in REFERENCES]
-    every = F.filter(F.concat(*around), lambda x: x["code"] != code)
-    first = F.transform(F.array_distinct(F.transform(every, lambda x: x["code"])), lambda c: F.get(F.filter(every, lambda x: x["code"] == c), F.lit(0)))
-    return F.slice(first, 1, 5)
+    every = F.filter(found(unmarked(content), REFERENCES), lambda c: c != code)
+    wanted = F.slice(F.array_distinct(every), 1, 5)
+
+    def first(codes: Column) -> Column:
+        """Of each pattern the first reference to each code is looked at, not all of them."""
+        places = lambda bodies: once(F.transform(bodies, lambda b: b["g1"]), lambda own: F.filter(F.transform(codes, lambda c: (F.array_position(own, c) - 1).cast("int")), lambda i: i >= 0))
+        around = [F.transform(matched(content, p, 1, 50, places), lambda m: F.struct(m["g1"].alias("code"), reason(m).alias("reason"))) for p in REFERENCES]
+        return once(F.concat(*around), lambda some: F.transform(codes, lambda c: F.get(F.filter(some, lambda x: x["code"] == c), F.lit(0))))
+
+    return once(wanted, first)
 
 
 def key_attributes(content: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from taxonaut.functions.text import once
+from taxonaut.functions.text import matched, once
 from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, steps, subheadings
 from taxonaut.plans import computed_queries
 
@@ -123,3 +123,15 @@ def test_few_cases_of_a_material_meet_items(spark):
     assert sorted(map(tuple, out.select("item_id", "case_id", "case_code", "position").collect())) == want
     kept = [f for f in out.inputFiles() if "taxonaut-first-cases" in f]
     assert spark.read.parquet(*kept).groupBy("term").count().filter("count > 10").isEmpty()
+
+
+def test_only_needed_matches_get_their_surroundings(spark):
+    codes = [f"{(i * 7) % 11 + 100:04d}" for i in range(400)]
+    content = " ".join(f"{i} 제{c}호로 분류" for i, c in enumerate(codes))
+    df = spark.createDataFrame([("0100", content), ("0101", None), ("0102", "제0105호\x01분류")], "code string, content string")
+    first = lambda bodies: F.filter(F.array(F.lit(1), F.lit(3)), lambda i: i < F.size(bodies))
+    some, every = (df.select(matched(F.col("content"), profiles.REFERENCES[0], 1, 20, p)).first()[0] for p in (first, None))
+    assert some == [every[1], every[3]] and len(every) == 400
+    got = [[(x.code, x.reason) for x in r[0]] for r in df.select(profiles.excludes(F.col("content"), F.col("code"))).collect()]
+    at = [next(m for m in re.finditer(r"제(\d{4})호[로에]?\s*분류", content) if m[1] == c) for c in dict.fromkeys(c for c in codes if c != "0100")][:5]
+    assert got == [[(m[1], content[max(0, m.start() - 50):m.end() + 50].strip()[:100]) for m in at], [], [("0105", "제0105호 분류")]]
