@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from taxonaut.functions.text import matched, once
-from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, steps, subheadings
+from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, retrieval_index, steps, subheadings
 from taxonaut.plans import computed_queries
 
 
@@ -135,3 +135,11 @@ def test_only_needed_matches_get_their_surroundings(spark):
     got = [[(x.code, x.reason) for x in r[0]] for r in df.select(profiles.excludes(F.col("content"), F.col("code"))).collect()]
     at = [next(m for m in re.finditer(r"제(\d{4})호[로에]?\s*분류", content) if m[1] == c) for c in dict.fromkeys(c for c in codes if c != "0100")][:5]
     assert got == [[(m[1], content[max(0, m.start() - 50):m.end() + 50].strip()[:100]) for m in at], [], [("0105", "제0105호 분류")]]
+
+
+def test_code_documents_take_few_rule_texts(spark):
+    cards = spark.createDataFrame([("0101", "red gear", ["x1"], None, None, None)], "code string, title string, scope array<string>, includes array<string>, excludes array<struct<code:string,reason:string>>, key_attributes array<struct<name:string,values:array<string>>>")
+    chunks = spark.createDataFrame([("0101", p, f"word{p} " * 40) for p in range(50)], "code string, position int, text string")
+    out = retrieval_index.code_corpus(cards, chunks, cut=12)
+    assert out.first().text == "red gear x1 word0 word0  word1 word1  word2 word2 "
+    assert "WindowGroupLimit" in plan(out)
