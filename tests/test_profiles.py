@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from taxonaut.operators import diagnostics, gate, match
+from taxonaut.plans import registry
 
 KEYS = ["item_id", "code"]
 CARDS = [("0101", "red"), ("0101", "steel bar"), ("0102", "bar"), ("0103", "blue"), ("0103", "x")]
@@ -49,3 +50,9 @@ def test_profiles_of_notes_tell_shares_of_words_apart(spark):
 def test_distribution_counts_rows_that_are_alike(spark):
     got = diagnostics.feature_distribution(spark.createDataFrame([(0.0,)] * 3 + [(4.0,), (None,)], "f double"), ["f"]).first()
     assert (got["mean"], got["p95"], got["least"], got["most"], got["nonzero"]) == (1.0, 3.4, 0.0, 4.0, 0.25)
+
+
+def test_scores_come_from_profiles(spark):
+    queries = registry.QUERIES
+    for name in ("j1_kb_topk", "u3_inject_truth"):
+        assert any("taxonaut-profile-of" in f for f in queries[name][0](spark, "/root/testdata/sf0.001").inputFiles()), name
