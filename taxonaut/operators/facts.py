@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept, reference, spread
 from .axes import SET_VALUES, strings
 from .extract import SIGNALS, signals
+from .match import Profiles
 from .scorers import low_confidence
 
 # Keywords of required facts.
@@ -144,6 +146,20 @@ def ranking_rows(features: DataFrame, labels: DataFrame, gated: DataFrame) -> Da
     return rows.join(usable, "item_id", "left_semi").drop("true_code")
 
 
+def ranking_rows_over_profiles(profiles: Profiles, features: DataFrame, labels: DataFrame, gated: DataFrame) -> DataFrame:
+    """The rows of ranking_rows from features and gate of profiles (profile as item_id), labels of items.
+
+    Whether an item is used is looked up by profile and true code, so rows of
+    items, many each, are never shuffled.
+    """
+    failed = gated.filter("not passed").select("item_id", "code")
+    left = kept(features.join(failed, ["item_id", "code"], "left_anti").withColumnRenamed("item_id", "profile"), "not-excluded")
+    true = reference(left.select("profile", F.col("code").alias("true_code")).distinct(), "true-codes")
+    used = profiles.of.hint("merge").join(labels.select("item_id", "true_code"), "item_id").join(true, ["profile", "true_code"], "left_semi")
+    rows = spread(kept(used, "used"), "item_id", 20_000).join(reference(left, "left"), "profile")
+    return rows.select(*features.columns, (F.col("code") == F.col("true_code")).cast("int").alias("label"))
+
+
 def smoke_statistics(ranked: DataFrame, signalled: DataFrame) -> DataFrame:
     """One row of a trial run: items, those with candidates, with a signal and of low confidence.
 

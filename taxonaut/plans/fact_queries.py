@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import axes, extract, facts, match, retrieval
+from ..operators import axes, extract, facts, retrieval
 from .axis_queries import ATTR, AXES, COMM, LEXICON, attribute_rows, commentary, docs, item_axes, joined, signals_sql
 from .fixtures import ITEMS, PRED, items, predictions, table
-from .match_queries import FEATURES, all_features, cards, name_terms, term_codes, tokens_of
-from .text_queries import BM25, GATE, gated, short_bm25
+from .match_queries import FEATURES, all_features, kb_of
+from .text_queries import BM25, GATE, gate_of, note_profiles, short_bm25
 
 #: The fixed keywords and those of the made-up axes, which part names have.
 WORDS = facts.LEXICON + [(a, k) for a, _, k in LEXICON]
@@ -76,9 +76,8 @@ def sections_sql() -> str:
 
 
 def with_gate(s, d):
-    found = match.found_terms(tokens_of(s, d), name_terms(s, d))
-    rows = match.kb_scores(tokens_of(s, d), cards(s, d), term_codes(s, d), found).select("item_id", "code")
-    return facts.with_gate(rows, gated(s, d))
+    x = note_profiles(s, d)
+    return x.of_items(facts.with_gate(kb_of(x, s, d).select("item_id", "code"), gate_of(x, s, d)))
 
 
 def vectors(s, d):
@@ -96,8 +95,8 @@ def other_axes(s, d):
 
 def training_rows(s, d):
     labels = items(s, d).select("item_id", F.col("code").alias("true_code"))
-    rows = match.kb_scores(tokens_of(s, d), cards(s, d), term_codes(s, d), match.found_terms(tokens_of(s, d), name_terms(s, d))).select("item_id", "code")
-    return facts.ranking_rows(rows, labels, gated(s, d))
+    x = note_profiles(s, d)
+    return facts.ranking_rows_over_profiles(x, kb_of(x, s, d).select("item_id", "code"), labels, gate_of(x, s, d))
 
 
 def smoke(s, d):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxonaut.operators import diagnostics, gate, match
+from taxonaut.operators import diagnostics, facts, gate, match
 from taxonaut.plans import registry
 
 KEYS = ["item_id", "code"]
@@ -52,6 +52,22 @@ def test_distribution_counts_rows_that_are_alike(spark):
     assert (got["mean"], got["p95"], got["least"], got["most"], got["nonzero"]) == (1.0, 3.4, 0.0, 4.0, 0.25)
 
 
+def gate_over(found, keywords):
+    gated = gate.heading_terms(match.keyword_hits(None, keywords, found))
+    return gated.withColumn("passed", ~((F.col("code") == "0102") & (F.col("heading_term") > 0)))
+
+
+def test_training_rows_of_profiles(spark):
+    items, cards = made(spark)
+    terms = cards.select(F.col("keyword").alias("term"))
+    found, x = match.found_terms(items, terms), match.profiles(items, terms)
+    labels = spark.createDataFrame([(0, "0101"), (1, "0101"), (2, "0103"), (3, "0101"), (7, "0102"), (8, "0101")], "item_id long, true_code string")
+    want = facts.ranking_rows(match.kb_scores(items, cards, None, found).select(*KEYS), labels, gate_over(found, cards))
+    got = facts.ranking_rows_over_profiles(x, match.kb_scores(x.items, cards, None, x.found).select(*KEYS), labels, gate_over(x.found, cards))
+    assert rows(got) == rows(want) != [] and got.columns == want.columns
+    assert all("taxonaut-used" in f or "taxonaut-left" in f for f in got.inputFiles())  # rows of items are neither shuffled nor written
+
+
 def test_scores_come_from_profiles(spark):
     queries = registry.QUERIES
     for name in ("j1_kb_topk", "u3_inject_truth"):
