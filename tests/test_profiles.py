@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxonaut.operators import diagnostics, facts, gate, match
+from taxonaut.operators import diagnostics, facts, gate, match, scorers
 from taxonaut.plans import registry
 
 KEYS = ["item_id", "code"]
@@ -68,6 +68,22 @@ def test_training_rows_of_profiles(spark):
     assert all("taxonaut-used" in f or "taxonaut-left" in f for f in got.inputFiles())  # rows of items are neither shuffled nor written
 
 
+def test_hybrid_of_profiles(spark):
+    items, cards = made(spark)
+    terms = cards.select(F.col("keyword").alias("term"))
+    found, x = match.found_terms(items, terms), match.profiles(items, terms)
+    rules = spark.createDataFrame([("r1", "0101", "include_rule", "include", "soft", ["red"]), ("r2", "0103", "exclude_rule", "exclude", "soft", ["blue"])], "rule_id string, code string, chunk_type string, polarity string, strength string, signals array<string>")
+    ml = spark.createDataFrame([(i, f"010{(i + j) % 5}", 0.1 * j + 0.05) for i in range(9) for j in range(3)], "item_id long, code string, score double")
+    known = spark.createDataFrame([("0101",)], "code string")
+
+    def sides(it, found):
+        return match.kb_scores(it, cards, None, found), gate_over(found, cards), match.card_scores(it, cards, found), match.rule_scores(it, rules, found), known
+
+    for k, most in ((5, 50), (2, 1)):
+        want, got = scorers.hybrid(ml, *sides(items, found), k, most), scorers.hybrid_over_profiles(x, ml, *sides(x.items, x.found), k, most)
+        assert rows(got) == rows(want) and got.dtypes == want.dtypes and len(rows(want)) > 9
+
+
 def test_scores_come_from_profiles(spark):
     queries = registry.QUERIES
     for name in ("j1_kb_topk", "u3_inject_truth"):
