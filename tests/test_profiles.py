@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from taxonaut.operators import diagnostics, facts, gate, match, scorers
-from taxonaut.plans import registry
+from taxonaut.plans import ranking_queries, registry
 
 KEYS = ["item_id", "code"]
 CARDS = [("0101", "red"), ("0101", "steel bar"), ("0102", "bar"), ("0103", "blue"), ("0103", "x")]
@@ -88,3 +88,14 @@ def test_scores_come_from_profiles(spark):
     queries = registry.QUERIES
     for name in ("j1_kb_topk", "u3_inject_truth"):
         assert any("taxonaut-profile-of" in f for f in queries[name][0](spark, "/root/testdata/sf0.001").inputFiles()), name
+
+
+def test_copies_of_parts_are_of_one_kind(spark, tmp_path):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").filter("p_partkey < 40")
+    n = part.count()
+    part.union(part.withColumn("p_partkey", F.col("p_partkey") + 1000)).write.parquet(f"{tmp_path}/part.parquet")
+    x = ranking_queries.Inputs(spark, str(tmp_path))
+    assert x.of.count() == 2 * n and x.items.count() == x.it.count() <= n and x.of.groupBy("kind").count().filter("count < 2").isEmpty()
+    gated, mine = x.gate_of(x.candidates)  # asked of profiles, met by candidates of kinds, and those by items
+    assert gated.count() == x.candidates.select("profile", "code").distinct().count() and mine.count() == x.candidates.count()
+    assert x.of_items(x.candidates).count() >= 2 * x.candidates.count() > gated.count()
