@@ -10,24 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import padded_grams
+from ..sources.scratch import kept
 from .split import frequent_classes, top_k
 
 
 def balanced(rows: DataFrame, label: str = "code") -> DataFrame:
-    """Adds weight = rows / (classes x rows of the class)."""
+    """Adds weight = rows / (classes x rows of the class). Counts are broadcast, one row a class: a fitted model has many numbers a class."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    return rows.join(counts, label).join(total).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
+    return rows.join(F.broadcast(counts), label).join(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
 
 def fit_tfidf(items: DataFrame, features: int = 10_000, least: int = 2) -> PipelineModel:
     """Character 1- and 2-grams inside words, TF-IDF, multinomial regression with balanced weights."""
-    rows = balanced(items.select("item_id", "code", padded_grams(F.col("text")).alias("grams")))
+    rows = items.filter("code is not null").select("code", padded_grams(F.col("text")).alias("grams"))
+    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features, minDF=least).fit(rows)
+    rows = kept(counts.transform(rows).select("code", "tf"), "gram-counts")  # of what follows nothing looks at the texts again
     stages = [
-        StringIndexer(inputCol="code", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"), CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features, minDF=least),
+        StringIndexer(inputCol="code", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
         IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features"), LogisticRegression(weightCol="weight", maxIter=20, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    fitted = Pipeline(stages=stages).fit(balanced(rows)).stages
+    return PipelineModel([fitted[0], counts, *fitted[1:]])
 
 
 def fit_vectors(items: DataFrame, least: int = 3) -> PipelineModel:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from taxonaut.functions.text import matched, once
-from taxonaut.operators import attributes, axes, gate, profiles, ranking, requirements, retrieval_index, steps, subheadings
+from taxonaut.operators import attributes, axes, gate, models, profiles, ranking, requirements, retrieval_index, steps, subheadings
 from taxonaut.plans import computed_queries
 
 
@@ -143,3 +143,13 @@ def test_code_documents_take_few_rule_texts(spark):
     out = retrieval_index.code_corpus(cards, chunks, cut=12)
     assert out.first().text == "red gear x1 word0 word0  word1 word1  word2 word2 "
     assert "WindowGroupLimit" in plan(out)
+
+
+def test_grams_are_not_shuffled(spark):
+    rows = [(i, ("red gear", "blau und rot", "vert et bleu")[i % 3] + " " + "abcdefgh"[i % 8], ("en", "de", "fr")[i % 3]) for i in range(60)] + [(99, "red", None)]
+    items = spark.createDataFrame(rows, "item_id long, text string, code string")
+    assert any("strategy=broadcast" in j for j in joins(models.balanced(items)) if "code#" in j)
+    model = models.fit_tfidf(items)
+    assert [type(s).__name__ for s in model.stages] == ["StringIndexerModel", "CountVectorizerModel", "IDFModel", "Normalizer", "LogisticRegressionModel"]
+    best = {r.item_id: r.code for r in models.predict(model, items, 1).collect()}
+    assert all(best[i] == c for i, _, c in rows if c)
