@@ -153,3 +153,11 @@ def test_grams_are_not_shuffled(spark):
     assert [type(s).__name__ for s in model.stages] == ["StringIndexerModel", "CountVectorizerModel", "IDFModel", "Normalizer", "LogisticRegressionModel"]
     best = {r.item_id: r.code for r in models.predict(model, items, 1).collect()}
     assert all(best[i] == c for i, _, c in rows if c)
+
+
+def test_scores_of_a_row_are_shuffled_as_one_array(spark):
+    rows = spark.createDataFrame([(q, c, int(c == "a"), float(q), 1.0) for q in range(4) for c in "abc"], "query_id int, code string, label int, x double, y double")
+    out = ranking.importance(rows, lambda df: df.withColumn("score", F.col("x") + F.col("y")), ["x", "y"])
+    text = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*?), \d+\)", text)]
+    assert "cell" in dealt and "query_id" in dealt and not any("i, r" in x or "cell, query_id" in x for x in dealt), dealt
